@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -82,3 +82,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
                 at, held = i, 0
             held += n + 64
         yield batch.slice(at)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, per: int = 100_000) -> DataFrame:
+    """df with `rank`: gapless from 0 within each value of keys, however many rows share one.
+
+    Rows of a key are split into blocks of about `per` by a hash of `order`; a block's rank starts after the rows of the
+    blocks before it. So no task holds more than a block, hot key or not. rows: how many df has, for the block count.
+    """
+    block = F.pmod(F.xxhash64(*order), F.lit(max(1, -(-rows // per)))).cast("int")
+    d = df.withColumn("__block", block)
+    before = (
+        d.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)))
+        .select(*keys, "__block", F.coalesce("__before", F.lit(0)).alias("__before"))
+    )
+    at = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(*order)) - 1
+    return d.withColumn("__at", at).join(before, [*keys, "__block"]).withColumn("rank", F.col("__before") + F.col("__at")).drop("__block", "__before", "__at")
