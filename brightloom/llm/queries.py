@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, kneser_ney, packing, quality, secrets, sharding, simhash, toxicity
+from . import common, decontam, kneser_ney, packing, pii, quality, secrets, sharding, simhash, spotsigs, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -38,10 +38,18 @@ def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_read(spark, sf_dir, "documents"))
+
+
 def op5_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edits(_read(spark, sf_dir, "documents"))
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = kneser_ney.fit(docs.where(common.remainder(7) != 2))
