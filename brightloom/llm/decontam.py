@@ -21,6 +21,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,52 +193,65 @@ def _search(index: Index, batch: list[str]) -> Iterator[tuple[int, int, float, f
                 yield d, item, found[d, item], whole, two[0], two[1]
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, score (BM25 over the item's own), overlap, question_overlap, answer_overlap of each leak.
-
-    docs: doc_id, text; items: item_id, text.
-    """
-    spark = docs.sparkSession
-    d = texts(docs)
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """The index of each block of items (item_id, text). Statistics are those of all items."""
     tests = items.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             bag = [Counter(words(t)) for t in b.column("text").to_pylist()]
             at = np.repeat(np.arange(len(bag)), [len(x) for x in bag])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("item_id").take(pa.array(at)), pa.array([w for x in bag for w in x], pa.string()), pa.array([n for x in bag for n in x.values()], pa.int64())],
-                ["item_id", "word", "tf"],
-            )
+            cols = [b.column("block").take(pa.array(at)), pa.array([w for x in bag for w in x], pa.string()), pa.array([n for x in bag for n in x.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "word", "tf"])
 
-    schema = T.StructType([tests.schema["item_id"], T.StructField("word", T.StringType()), T.StructField("tf", T.LongType())])
-    bag = tests.mapInArrow(bags, schema)
-    df = bag.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     whole = tests.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
-    length = bag.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     n_blocks = max(1, -(-whole["size"] // INDEX_BYTES))
-    tests = tests.withColumn("__block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
-    fields = [d.schema["doc_id"], tests.schema["item_id"], *(T.StructField(c, T.DoubleType()) for c in ("score", "overlap", "question_overlap", "answer_overlap"))]
-    out, out_type = spark.createDataFrame([], T.StructType(fields)), to_arrow_type(tests.schema["item_id"].dataType)
+    tests = tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+    bag = tests.select("block", "text").mapInArrow(bags, "block long, word string, tf long")
+    length = bag.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    df = bag.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     for k in range(n_blocks):
-        mine = tests.where(F.col("__block") == k)
-        own = sorted((r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect())
-        seen = {r["word"]: r["df"] for r in df.join(mine.select("item_id").distinct().join(bag, "item_id").select("word").distinct(), "word").collect()}
-        index = spark.sparkContext.broadcast(Index(own, whole["n"], length / max(1, whole["n"]), seen))
+        own = sorted((r["item_id"], r["text"]) for r in tests.where(F.col("block") == k).select("item_id", "text").collect())
+        mine = bag.where(F.col("block") == k).select("word").distinct()
+        yield Index(own, whole["n"], length / max(1, whole["n"]), {r["word"]: r["df"] for r in df.join(mine, "word").collect()})
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, score (BM25 over the item's own), overlap, question_overlap, answer_overlap of each leak.
+
+    docs: doc_id, text; items: item_id, text.
+    """
+    spark, d = docs.sparkSession, texts(docs)
+    fields = [d.schema["doc_id"], items.schema["item_id"], *(T.StructField(c, T.DoubleType()) for c in ("score", "overlap", "question_overlap", "answer_overlap"))]
+    names, out_type = [f.name for f in fields], to_arrow_type(items.schema["item_id"].dataType)
+    out = spark.createDataFrame([], T.StructType(fields))
+    for built in indexes(items):
+        index = spark.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "text", 1_000_000):
                 got = list(_search(index.value, b.column("text").to_pylist()))
                 if got:
                     row, item, *rest = zip(*got, strict=True)
-                    ids = [index.value.ids[i] for i in item]
-                    cols = [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(ids, out_type), *(pa.array(x, pa.float64()) for x in rest)]
-                    yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+                    ids = pa.array([index.value.ids[i] for i in item], out_type)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), ids, *(pa.array(x, pa.float64()) for x in rest)], names)
 
         out = out.union(d.mapInArrow(run, T.StructType(fields)))
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id has no leak."""
-    return docs.join(matches(docs, items).select(F.col("doc_id").alias("__leaked")).distinct(), F.col("doc_id") == F.col("__leaked"), "left_anti")
+    """The rows of docs, all columns, without a leak of items."""
+    def leaking(index):
+        def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                out = np.zeros(len(s), bool)
+                for at in range(0, len(s), 256):
+                    out[[at + hit[0] for hit in _search(index.value, s.iloc[at : at + 256].fillna("").tolist())]] = True
+                yield pd.Series(out)
+
+        return F.pandas_udf(leaks, "boolean")
+
+    for built in indexes(items):
+        docs = docs.where(~leaking(docs.sparkSession.sparkContext.broadcast(built))(F.col("text").cast("string")))
+    return docs

@@ -15,6 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,8 +167,8 @@ def redacted(text: str, mark: str = "[SECRET]", cost: float = COST) -> str:
 def redact(docs: DataFrame, cost: float = COST) -> DataFrame:
     """docs, all columns, with the secrets in text replaced; a null text stays null."""
 
-    def run(texts_: Iterator) -> Iterator:
-        for s in texts_:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
             yield s.map(lambda t: None if t is None else redacted(t, cost=cost))
 
     return docs.withColumn("text", F.pandas_udf(run, "string")(F.col("text")))

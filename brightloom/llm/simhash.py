@@ -19,12 +19,13 @@ never names a class, and a class without any other id has none (null).
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +41,8 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(_fingerprints([text], width)[0])
 
 
-def _fingerprints(batch: list[str], width: int) -> np.ndarray:
+def _shingles(batch: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' shingles in a row, and how many each text has."""
     digest, join, parts, counts = xxhash.xxh64_digest, b" ".join, [], []
     for text in batch:
         words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -56,15 +58,21 @@ def _fingerprints(batch: list[str], width: int) -> np.ndarray:
         starts = [0, *(e + 1 for e in ends[: len(ends) - width])]
         parts += [digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=True)]
         counts.append(len(starts))
-    n = np.array(counts, np.int64)
-    out = np.zeros(len(batch), np.uint64)
-    full = np.flatnonzero(n)
+    return np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), np.array(counts, np.int64)
+
+
+def _majority(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per run of hashes (starting at first, n long): the bits set in over half of them."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(sums * 2 > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def _fingerprints(batch: list[str], width: int) -> np.ndarray:
+    shingle, n = _shingles(batch, width)
+    out, full = np.zeros(len(batch), np.uint64), np.flatnonzero(n)
     if len(full):
-        bits = np.unpackbits(np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 8), axis=1)
-        first = np.cumsum(n[full]) - n[full]
-        sums = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        on = np.packbits(sums * 2 > n[full, None], axis=1)
-        out[full] = on.view(">u8").ravel().astype(np.uint64)
+        out[full] = _majority(shingle, np.cumsum(n[full]) - n[full], n[full])
     return out
 
 
@@ -97,10 +105,13 @@ def agreeing(n: int, radius: int) -> int:
 
 
 def _forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, least node it reaches) of the links among fp; with side, only links between sides 0 and 1 are looked for."""
-    pops = np.bitwise_count(fp)
+    """Edges (node, least node it reaches) of the links among the rows of fp (uint64, a column per 64 bits).
+
+    With side, only links between rows of different sides are looked for.
+    """
+    pops = np.bitwise_count(fp).sum(axis=1, dtype=np.int32)
     order = np.argsort(pops, kind="stable")
-    fp, node, pops = fp[order], node[order], pops[order].astype(np.int16)
+    fp, node, pops = fp[order], node[order], pops[order]
     side = None if side is None else side[order]
     n, label = len(fp), np.arange(len(fp))
 
@@ -116,11 +127,11 @@ def _forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None, radius: i
                 label[:] = nxt
 
     for i in range(0, n, TILE):
-        left = fp[i : i + TILE, None]
         for j in range(i, n, TILE):
             if pops[j] - pops[min(i + TILE, n) - 1] > radius:
                 break
-            hit = np.bitwise_count(left ^ fp[None, j : j + TILE]) <= radius
+            apart = sum(np.bitwise_count(fp[i : i + TILE, None, w] ^ fp[None, j : j + TILE, w]).astype(np.uint16 if fp.shape[1] > 3 else np.uint8) for w in range(fp.shape[1]))
+            hit = apart <= radius
             if side is not None:
                 hit &= side[i : i + TILE, None] != side[None, j : j + TILE]
             if i == j:
@@ -135,66 +146,62 @@ def _forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None, radius: i
     return node[linked], root[linked]
 
 
-def _compare(radius: int):
+def _compare(radius: int, words: int):
+    columns = ("block", "key", "lo", "hi", "part", "node", *(f"f{w}" for w in range(words)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by their block; a block may run over several batches."""
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []
         at = None
 
         def close() -> tuple[np.ndarray, np.ndarray]:
-            fp, node, side = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(fp) < 2:
+            part, node, *fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(node) < 2:
                 return node[:0], node[:0]
-            cut = side[0] if (side == side[0]).all() else None
-            both = None if cut is not None else side
-            return _forest(fp.view(np.uint64), node, both, radius)
+            side = None if (part == part[0]).all() else part
+            return _forest(np.stack(fp, axis=1).view(np.uint64), node, side, radius)
+
+        def edges(pairs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs, strict=True)], ["src", "dst"])
 
         for b in batches:
-            mask, key, lo, hi, part, fp, node = (b.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "key", "lo", "hi", "part", "fp", "node"))
-            if not len(fp):
+            block, key, lo, hi, *rest = (b.column(c).to_numpy(zero_copy_only=False) for c in columns)
+            if not len(key):
                 continue
-            new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            src, dst = [], []
-            edges = [0, *new.tolist(), len(fp)]
-            for s, e in zip(edges, edges[1:], strict=False):
-                here = (mask[s], key[s], lo[s], hi[s])
+            new = np.flatnonzero((block[1:] != block[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            found, cuts = [], [0, *new.tolist(), len(key)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                here = (block[s], key[s], lo[s], hi[s])
                 if at is not None and here != at:
-                    x, y = close()
-                    src.append(x)
-                    dst.append(y)
+                    found.append(close())
                     held = []
                 at = here
-                held.append([fp[s:e], node[s:e], part[s:e]])
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+                held.append(tuple(x[s:e] for x in rest))
+            if found:
+                yield edges(found)
         if held:
-            x, y = close()
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["src", "dst"])
+            yield edges([close()])
 
     return run
 
 
-def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (src, dst) that span the classes of nodes (node, fp): fp distinct, node a distinct long for each."""
-    masks = bands(radius, agreeing(nodes.count(), radius))
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select(
-        "node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask", "key")
-    )
-    size = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+def links(nodes: DataFrame, blocks: Column, words: int, radius: int) -> DataFrame:
+    """Edges (src, dst) that span the classes of nodes (node: distinct longs; f0, f1 ...: the fingerprint).
+
+    blocks: an array of longs; two nodes are compared if some element, at the same place, is equal.
+    """
+    prints = [f"f{w}" for w in range(words)]
+    keyed = nodes.select("node", *prints, F.posexplode(blocks).alias("block", "key"))
+    size = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     cut = (
-        keyed.join(size, ["mask", "key"])
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        .select(
-            "mask", "key", "fp", "node", "part",
-            F.explode(F.expr("transform(sequence(0, parts - 1), q -> struct(least(q, part) AS lo, greatest(q, part) AS hi))")).alias("pair"),
-        )
-        .select("mask", "key", "pair.lo", "pair.hi", "part", "fp", "node")
+        keyed.join(size, ["block", "key"])
+        .withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64(*prints), F.col("parts")).cast("int"))
+        .withColumn("pair", F.explode(F.expr("transform(sequence(0, parts - 1), q -> struct(least(q, part) AS lo, greatest(q, part) AS hi))")))
+        .select("block", "key", "pair.lo", "pair.hi", "part", "node", *prints)
     )
-    tasks = cut.repartition("mask", "key", "lo", "hi").sortWithinPartitions("mask", "key", "lo", "hi")
-    return tasks.mapInArrow(_compare(radius), "src long, dst long")
+    tasks = cut.repartition("block", "key", "lo", "hi").sortWithinPartitions("block", "key", "lo", "hi")
+    return tasks.mapInArrow(_compare(radius, words), "src long, dst long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,6 +241,71 @@ def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp and component_id (least doc_id in the class) for each row of docs (doc_id, text)."""
     prints = stage(fingerprints(docs, width), "fingerprints")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(links(nodes.where("node IS NOT NULL"), radius))
+    masks = [m - (1 << 64) if m >> 63 else m for m in bands(radius, agreeing(nodes.count(), radius))]
+    blocks = F.array(*[F.col("f0").bitwiseAND(F.lit(m).cast("long")) for m in masks])
+    found = components(links(nodes.where("node IS NOT NULL").withColumnRenamed("fp", "f0"), blocks, 1, radius))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: 64-bit fingerprints that the estimate of a similarity rests on, and the min-wise keys of two hashes that block it.
+WORDS, KEYS = 4, 6
+_DRAW = np.random.default_rng(3).integers(1, 1 << 62, 2 * KEYS + WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bits_apart(similarity: float, words: int = WORDS) -> int:
+    """Bits in which fingerprints of that Jaccard similarity differ on average, and one standard error more."""
+    n = 64 * words
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def _sketches(batch: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text WORDS fingerprints (of its shingles' hashes, mixed anew for each) and KEYS min-wise keys of the shingles."""
+    shingle, n = _shingles(batch, width)
+    prints, keys = np.zeros((len(batch), WORDS), np.uint64), np.zeros((len(batch), KEYS), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        first = np.cumsum(n[full]) - n[full]
+        for w in range(WORDS):
+            mixed = (shingle ^ (shingle >> np.uint64(29))) * _DRAW[w]
+            prints[full, w] = _majority(mixed ^ (mixed >> np.uint64(32)), first, n[full])
+        for k in range(KEYS):
+            low = [np.minimum.reduceat((shingle ^ (shingle >> np.uint64(31))) * _DRAW[WORDS + 2 * k + i], first) for i in (0, 1)]
+            keys[full, k] = low[0] * np.uint64(0x9E3779B97F4A7C15) ^ low[1]
+    return prints, keys
+
+
+def distinct(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, with one row of each near-duplicate class: that of the least doc_id, then of the least text hash.
+
+    Similarity is the Jaccard similarity of the sets of `width`-word shingles as 64 * WORDS fingerprint bits estimate it
+    (an error of about 0.03 near 0.8, taken in favour of a link). At the radius this takes, bands of a fingerprint are too
+    short to block by, so blocks are of texts that agree in one of KEYS min-wise keys of two shingles each: of pairs at 0.8
+    that is 99.8 in a hundred, more above. Tiles within blocks are compared and skipped as in classes().
+    """
+    d = texts(docs).select("doc_id", F.xxhash64("text").alias("t"), "text")
+    names = [*(f"f{w}" for w in range(WORDS)), *(f"k{k}" for k in range(KEYS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1_000_000):
+            made = np.concatenate(_sketches(b.column("text").to_pylist(), width), axis=1).view(np.int64)
+            cols = [b.column("doc_id"), b.column("t"), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(made.shape[1]))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", *names])
+
+    schema = T.StructType([d.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("t", *names))])
+    rows = stage(d.mapInArrow(run, schema).withColumn("node", F.xxhash64(*names[:WORDS])), "sketches")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t"))
+    nodes = stage(rows.groupBy("node").agg(*(F.first(x).alias(x) for x in names), best.alias("best")), "nodes")
+    found = components(links(nodes, F.array(*names[WORDS:]), WORDS, bits_apart(similarity)))
+    named = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "best")
+    keep = named.groupBy("class").agg(F.min("best").alias("best"))
+    kept = stage(named.join(keep.select("class", F.col("best").alias("keep")), "class").select("node", "keep"), "kept")
+    drop = (
+        rows.select("doc_id", "t", "node").distinct().join(kept, "node")
+        .where(~(F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.t") == F.col("t")))).select(F.col("doc_id").alias("__id"), F.col("t").alias("__drop"))
+    )
+    hashed = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    left = hashed.join(drop, hashed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__drop")), "left_anti")
+    same = Window.partitionBy("doc_id", "__t").orderBy("__t")
+    return left.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

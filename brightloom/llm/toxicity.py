@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,3 +184,17 @@ def scores(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     d = texts(docs, *keep)
     return d.mapInArrow(run, T.StructType([*(d.schema[c] for c in kept), T.StructField("score", T.DoubleType())]))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+
+    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        place = np.full(1 << HASH_BITS, -1, np.int32)
+        place[model.hashes] = np.arange(len(model.hashes), dtype=np.int32)
+        least = np.log(threshold / (1 - threshold))
+        for s in batches:
+            parts = [model._margins(s.iloc[at : at + 256].fillna("").tolist(), place) for at in range(0, len(s), 256)]
+            yield pd.Series(np.concatenate(parts) < least if parts else [], dtype=bool)
+
+    return docs.where(F.pandas_udf(keep, "boolean")(F.col("text").cast("string")))
