@@ -31,9 +31,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import slices, texts
 
 K1, B = 1.2, 0.75
-BLOCK = 8
+BLOCK = 4
 INDEX_BYTES = 32_000_000
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 OVERLAP, PART_OVERLAP, WIDTH = 0.8, 0.5, 5
 LEAST_WINDOW = 128
 _WORD = re.compile(r"\w+")
