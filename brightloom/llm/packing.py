@@ -12,7 +12,11 @@ Null or empty texts are a document of the one token 0. Repeated rows are packed
 
 from __future__ import annotations
 
+import functools
+import json
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,8 @@ from .common import ranked, slices, stage, texts
 LIMIT = 2048
 #: Distinct space-delimited words whose ids a worker remembers.
 REMEMBER = 300_000
+#: How byte-level BPE parts a text before merging.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Tightest:
@@ -90,21 +96,57 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> np.ndarray:
     return np.array(runs, np.int64).reshape(-1, 6)
 
 
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Of a byte-level BPE whose ids follow its merges (so that the lower id is the earlier merge), the ranks; else None."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") not in (None, "BPE") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer") or model.get("byte_fallback"):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    vocab = model["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != list(range(256, 256 + len(merged))):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    return {bytes(byte[c] for c in w): i for w, i in vocab.items() if w not in special}
+
+
 class _Ids:
-    """Texts to little-endian ids. Where words part at single blanks, a word with its blank is tokenized once and remembered."""
+    """Texts to little-endian ids, those of `tokenizers` for the file at path, its special tokens' strings taken as text.
+
+    Where words part at single blanks, a word with its blank is tokenized once and remembered; of two generations of
+    REMEMBER words the older is forgotten. A byte-level BPE's words go through tiktoken's merges of the same vocabulary,
+    which give the same ids; long words, and other models, through `tokenizers`.
+    """
+
+    LONG = 400
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            ranks = _ranks(json.load(f))
+        self.merges = ranks and tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _encode(self, batch: list[str]) -> list[bytes]:
+    def _slow(self, batch: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
+    def _encode(self, batch: list[str]) -> list[bytes]:
+        if not self.merges:
+            return self._slow(batch)
+        out = [array("I", self.merges(w)).tobytes() if len(w) < self.LONG else b"" for w in batch]
+        long = [i for i, w in enumerate(batch) if len(w) >= self.LONG]
+        for i, ids in zip(long, self._slow([batch[i] for i in long]), strict=True):
+            out[i] = ids
+        return out
+
     def __call__(self, batch: list[str]) -> list[bytes]:
-        known, split, whole = self.known, [], []
+        split, whole = [], []
         for i, text in enumerate(batch):
             words = text.split(" ")
             ends = {w[:1] for w in words} | {w[-1:] for w in words}
@@ -113,25 +155,31 @@ class _Ids:
                 split.append([])
             else:
                 split.append([words[0], *map(" ".__add__, words[1:])])
-        missing = list({w for words in split for w in words if w not in known})
-        if len(known) + len(missing) > REMEMBER:
-            known.clear()
-            missing = list({w for words in split for w in words})
+        if len(self.known) > REMEMBER:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = set().union(*split).difference(known)
+        known.update((w, older[w]) for w in missing.intersection(older))
+        missing = [w for w in missing if w not in known]
         known.update(zip(missing, self._encode(missing), strict=True))
         out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for i, ids in zip(whole, self._encode([batch[i] for i in whole]), strict=True):
+        for i, ids in zip(whole, self._slow([batch[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
 
+@functools.cache
+def _ids(path: str) -> _Ids:
+    """A worker's tokenizer, kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return _Ids(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of each row of docs (doc_id, text). tokenizer: a file of `tokenizers`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = _Ids(tokenizer)
+        ids_of = _ids(tokenizer)
         for b in slices(batches, "text", 2_000_000):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(ids_of(b.column("text").to_pylist())):
