@@ -18,14 +18,17 @@ def tokens(text: Column) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
     ascii_ = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
 
-    def grams(run: Column) -> Column:
+    none = F.array().cast("array<string>")
+
+    def slices(run: Column, k: int) -> Column:
         n = F.length(run)
-        parts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i, k=k: F.substring(run, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3)]
-        whole = F.when(n.between(4, 8), F.array(run)).otherwise(F.array().cast("array<string>"))
-        return F.concat(*parts, whole)
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(run, i, F.lit(k)))).otherwise(none)
+
+    def grams(run: Column) -> Column:
+        return F.concat(*(slices(run, k) for k in (1, 2, 3)), F.when(F.length(run).between(4, 8), F.array(run)).otherwise(none))
 
     runs = F.regexp_extract_all(text, F.lit(_CJK), F.lit(0))
-    return F.concat(ascii_, F.when(text.rlike(_CJK), F.flatten(F.transform(runs, grams))).otherwise(F.array().cast("array<string>")))
+    return F.concat(ascii_, F.when(text.rlike(_CJK), F.flatten(F.transform(runs, grams))).otherwise(none))
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:

@@ -422,7 +422,7 @@ def json_lines(spark, d):
     path = f"{_folder(spark)}/objects"
     _t(spark, d, "embeddings").write.json(path)
     got = files.read_json(spark, path, ["vec_id", "embedding", "label"])
-    return got.select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3) + 0.0).alias("total"))
+    return got.select("vec_id", "label", (F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3) + 0.0).alias("total"))
 
 
 @_add("src_05_json_array", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")

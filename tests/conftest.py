@@ -1,7 +1,13 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
