@@ -24,6 +24,9 @@ from ..operators import relational as rel
 from ..sources import files
 
 DELIVERY = ("at-least-once", "best-effort")
+BACKENDS = {
+    "memory": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider", "rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 MODES = ("single-process", "local-workers", "auto")
 
 
@@ -271,6 +274,17 @@ class Stream:
     def transform(self, f: Callable[[DataFrame], DataFrame], per_batch: bool = False) -> Stream:
         return self._with(f, per_batch)
 
+    def with_state(self, keys: Sequence[str], f: Callable, schema: str, state_schema: str) -> Stream:
+        """f(key, batches of a group's rows in pandas, state) yields pandas rows of schema; state lives on between batches.
+
+        The state is Spark's GroupState over state_schema: exists, get, update(tuple), remove().
+        """
+
+        def apply(df: DataFrame) -> DataFrame:
+            return df.groupBy(*keys).applyInPandasWithState(f, schema, state_schema, "append", "NoTimeout")
+
+        return self._with(apply)
+
     def limit(self, n: int) -> Stream:
         """Of each micro-batch."""
         return self._with(lambda df: df.limit(n), per_batch=True)
@@ -392,7 +406,11 @@ class StreamQuery:
     """A running stream. at-least-once replays the source from its start at every start; best-effort goes on where the last run
     ended, state included. max_inflight_batches is one file a trigger here: batches never queue in the engine."""
 
-    def __init__(self, stream: Stream, sink: Sink, checkpoint: str | None = None, delivery: str = "at-least-once", trigger_interval_ms: int = 0, execution_mode: str = "auto", max_inflight_batches: int = 1, plugins=None):
+    def __init__(self, stream: Stream, sink: Sink, checkpoint: str | None = None, delivery: str = "at-least-once", trigger_interval_ms: int = 0, execution_mode: str = "auto", max_inflight_batches: int = 1, plugins=None, state_backend: str | None = None):
+        if state_backend is not None:
+            if state_backend not in BACKENDS:
+                raise ValueError(f"unknown state backend: {state_backend}")
+            stream.spark.conf.set("spark.sql.streaming.stateStore.providerClass", BACKENDS[state_backend])
         if delivery not in DELIVERY:
             raise ValueError(f"unknown delivery mode: {delivery}")
         if execution_mode not in MODES:

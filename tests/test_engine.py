@@ -268,3 +268,25 @@ def test_runs(spark, tmp_path):
     assert got["facts"]["n"] == (3, 4) and values(got["rows"]) == [(3, "added")]
     store.delete(made[0])
     assert [r["id"] for r in store.list()] == [made[1]] and store.cleanup(0) == 1
+
+
+def test_capabilities():
+    from brightloom.plans import capabilities as c
+
+    assert {"LOWER", "CAST", "SUM"} <= {f["name"] for f in c.functions()} and set(c.capabilities()) == {"clauses", "left_out", "functions", "patterns"}
+    assert c.search("keyword search text")[0]["name"] in ("KEYWORD SEARCH", "text search") and not c.search("zzz")
+
+
+def test_own_state(spark):
+    import pandas as pd
+
+    def total(key, frames, state):
+        n = (state.get[0] if state.exists else 0) + sum(int(f["v"].sum()) for f in frames)
+        state.update((n,))
+        yield pd.DataFrame({"k": [key[0]], "n": [n]})
+
+    sink = streams.MemorySink()
+    s = streams.Stream(spark, batches(spark, [[("a", 1), ("b", 5)], [("a", 2)]], "k string, v int")).with_state(["k"], total, "k string, n long", "n long")
+    s.start(sink, state_backend="rocksdb").await_termination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert [tuple(r) for r in sink.last] == [("a", 3)]
