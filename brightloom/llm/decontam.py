@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices, texts
+from .common import ship, slices, texts
 
 K1, B = 1.2, 0.75
 BLOCK = 4
@@ -242,6 +242,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without a leak of items."""
+    ship(docs.sparkSession)
+
     def leaking(index):
         def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:

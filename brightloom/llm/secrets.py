@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import ship, slices, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Power of ten of guesses from which a value counts as a secret.
@@ -167,6 +167,8 @@ def redacted(text: str, mark: str = "[SECRET]", cost: float = COST) -> str:
 def redact(docs: DataFrame, cost: float = COST) -> DataFrame:
     """docs, all columns, with the secrets in text replaced; a null text stays null."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda t: None if t is None else redacted(t, cost=cost))

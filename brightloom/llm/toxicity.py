@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import ship, slices, texts
 
 SIZES = (4, 5, 6)
 HASH_BITS = 22
@@ -189,6 +189,8 @@ def scores(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose text scores below the threshold."""
 
+    ship(docs.sparkSession)
+
     def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         place = np.full(1 << HASH_BITS, -1, np.int32)
         place[model.hashes] = np.arange(len(model.hashes), dtype=np.int32)
