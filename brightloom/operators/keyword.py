@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .vector import with_row_id
+
 K1, B = 1.2, 0.75
 _CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]+"
 
@@ -80,15 +82,14 @@ def keyword_search(df: DataFrame, columns: Sequence[str], query: str, top_k: int
 def build_keyword_index(tables: Sequence[DataFrame], text_columns: Sequence[str], path: str, source_labels: Sequence[str] | None = None, doc_id_field: str | None = None, analyzer: str = "builtin") -> str:
     """Writes docs, terms and postings (Parquet) and manifest.json under path; returns path.
 
-    __doc_id is the field named, or else a hash of source and content made unique by position, so it needs no global order.
+    __source_row_id is a row's position in its table; __doc_id the field named, or else source and position.
     """
     if analyzer not in ("builtin", "jieba"):
         raise ValueError(f"unsupported analyzer: {analyzer}")
     labels = list(source_labels or (f"dataset_{i}" for i in range(len(tables))))
     docs = None
     for label, t in zip(labels, tables, strict=True):
-        row = F.monotonically_increasing_id()
-        one = t.withColumn("__source_dataset", F.lit(label)).withColumn("__source_row_id", row)
+        one = with_row_id(t, "__source_row_id").withColumn("__source_dataset", F.lit(label))
         key = F.col(f"`{doc_id_field}`").cast("string") if doc_id_field else F.concat_ws(":", F.lit(label), F.col("__source_row_id").cast("string"))
         one = one.withColumn("__doc_join_key", key)
         docs = one if docs is None else docs.unionByName(one, allowMissingColumns=True)
