@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from .vector import with_row_id
 
 K1, B = 1.2, 0.75
-_CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]+"
+_CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits; of each CJK run all 1-, 2- and 3-grams and, if 4 to 8 long, itself."""
+    """Lower-cased runs of ASCII letters and digits; of each CJK run all 1-, 2- and 3-grams and, if 2 to 8 long, itself once more."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     ascii_ = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
 
@@ -27,7 +27,7 @@ def tokens(text: Column) -> Column:
         return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(run, i, F.lit(k)))).otherwise(none)
 
     def grams(run: Column) -> Column:
-        return F.concat(*(slices(run, k) for k in (1, 2, 3)), F.when(F.length(run).between(4, 8), F.array(run)).otherwise(none))
+        return F.concat(*(slices(run, k) for k in (1, 2, 3)), F.when(F.length(run).between(2, 8), F.array(run)).otherwise(none))
 
     runs = F.regexp_extract_all(text, F.lit(_CJK), F.lit(0))
     return F.concat(ascii_, F.when(text.rlike(_CJK), F.flatten(F.transform(runs, grams))).otherwise(none))

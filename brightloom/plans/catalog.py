@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..monitor import dsl, events
+from ..monitor import dsl, events, runtime
 from ..operators import embedding, keyword, vector
 from ..operators import relational as rel
 from ..operators.relational import Bool, Compare, Ref
 from ..functions import aggregates
+from ..plugins import Outcome, Plugin
 from ..session import Session
 from ..sources import files
 from ..streaming import query as streams
+from . import capabilities
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -587,6 +589,151 @@ def run_diff(spark, d):
     n = _t(spark, d, "nation").select("n_nationkey")
     return diff(n.where("n_nationkey < 23"), n.where("n_nationkey >= 2"))
 
+_STREAM_COLS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+
+
+def _rows(spark, sink: streams.MemorySink, schema) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for b in sink.all for r in b], schema)
+
+
+@_add("stm_op_05_sliding", "SELECT strftime(to_timestamp(w / 1000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS window_start, count(*) AS n FROM (SELECT unnest([epoch_us(ts) // 1000 // 43200000 * 43200000 - i * 43200000 for i in [0, 1]]) AS w FROM events) GROUP BY 1")
+def sliding(spark, d):
+    sink = streams.MemorySink()
+    streams.Stream(spark, streams.MemorySource(spark, _parts(spark, d))).window("ts", 86_400_000, slide_ms=43_200_000).group_by(["window_start"]).count("n", stateful=True).start(sink).await_termination()
+    return _last(spark, sink, ["window_start"], "window_start string, n long")
+
+
+@_add("stm_op_11_retained_windows", "SELECT strftime(to_timestamp(epoch_us(ts) // 86400000000 * 86400) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS window_start, count(*) AS n, round(max(value), 6) AS high FROM events GROUP BY 1")
+def retained(spark, d):
+    sink = streams.MemorySink()
+    s = streams.Stream(spark, streams.MemorySource(spark, _parts(spark, d))).window("ts", 86_400_000).group_by(["window_start"])
+    s.agg([("COUNT", None, "n"), ("MAX", "value", "high")], stateful=True, max_retained_windows=10_000).start(sink).await_termination()
+    return _round(_last(spark, sink, ["window_start"], "window_start string, n long, high double"), "high")
+
+
+@_add("stm_op_02_limit", "SELECT b AS batch, CAST(5 AS BIGINT) AS n FROM (VALUES (CAST(0 AS BIGINT)), (1), (2), (3)) t(b)")
+def stream_limit(spark, d):
+    sink = streams.MemorySink()
+    streams.Stream(spark, streams.MemorySource(spark, _parts(spark, d))).limit(5).start(sink).await_termination()
+    return _rows(spark, sink, _STREAM_COLS).groupBy((F.col("event_id") % 4).alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add("stm_op_03_order_by", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id % 4 ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 3")
+def stream_order(spark, d):
+    sink = streams.MemorySink()
+    streams.Stream(spark, streams.MemorySource(spark, _parts(spark, d))).order_by(["value", "event_id"], [False, True]).limit(3).start(sink).await_termination()
+    return _rows(spark, sink, _STREAM_COLS).select("event_id")
+
+
+@_add("stm_src_03_queue", "SELECT event_id, value FROM events WHERE event_id < 200")
+def stream_queue(spark, d):
+    e = _t(spark, d, "events").where("event_id < 200").select("event_id", "value")
+    q = streams.QueueSource(spark, e.schema)
+    q.push_arrow(e.where("event_id < 100").toArrow())
+    q.push_rows([tuple(r) for r in e.where("event_id >= 100").collect()])
+    q.close()
+    sink = streams.MemorySink()
+    streams.Stream(spark, q).start(sink).await_termination()
+    return _rows(spark, sink, "event_id long, value double")
+
+
+@_add("stm_snk_02_file_append", "SELECT event_id, event_type FROM events WHERE event_id < 400")
+def stream_file(spark, d):
+    out = f"{_folder(spark)}/out.csv"
+    parts = [p.where("event_id < 400").select("event_id", "event_type") for p in _parts(spark, d)]
+    streams.Stream(spark, streams.MemorySource(spark, parts)).start(streams.FileAppendSink(out)).await_termination()
+    return spark.read.option("header", True).schema("event_id long, event_type string").csv(out)
+
+
+@_add("stm_op_15_at_least_once", "SELECT event_id, count(*) AS n FROM (SELECT event_id FROM events WHERE event_id < 40 UNION ALL SELECT event_id FROM events WHERE event_id < 40 AND event_id % 4 = 0) GROUP BY 1")
+def replayed(spark, d):
+    source, at, out = streams.MemorySource(spark, [p.where("event_id < 40").select("event_id") for p in _parts(spark, d)]), _folder(spark), f"{_folder(spark)}/out.csv"
+    for most in (1, None):
+        streams.Stream(spark, source).start(streams.FileAppendSink(out), checkpoint=at).await_termination(max_batches=most)
+    return spark.read.option("header", True).schema("event_id long").csv(out).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add("stm_op_16_best_effort", "SELECT event_id, CAST(1 AS BIGINT) AS n FROM events WHERE event_id < 40")
+def resumed(spark, d):
+    source, at, out = streams.MemorySource(spark, [p.where("event_id < 40").select("event_id") for p in _parts(spark, d)]), _folder(spark), f"{_folder(spark)}/out.csv"
+    for most in (1, None):
+        streams.Stream(spark, source).start(streams.FileAppendSink(out), checkpoint=at, delivery="best-effort").await_termination(max_batches=most)
+    return spark.read.option("header", True).schema("event_id long").csv(out).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add("stm_op_17_progress")
+def progress(spark, d):
+    q = streams.Stream(spark, streams.MemorySource(spark, _parts(spark, d))).start(streams.MemorySink())
+    q.await_termination()
+    return spark.createDataFrame([(q.snapshot_json(),)], "progress string")
+
+
+@_add("key_05_build_index", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents WHERE doc_id < 100) GROUP BY 1")
+def build_index(spark, d):
+    path = keyword.build_keyword_index([_t(spark, d, "documents").where("doc_id < 100").select("doc_id", "text")], ["text"], _folder(spark), doc_id_field="doc_id")
+    return spark.read.parquet(f"{path}/terms")
+
+
+@_add("mon_05_execute", "SELECT CAST(least(count(*), 100) AS BIGINT) AS signals FROM events WHERE value > 99")
+def monitor_run(spark, d):
+    store = runtime.Store()
+    rule = store.save_rule({"name": "high", "template": "threshold", "parameters": {"table": "input", "field": "value", "op": ">", "value": 99}})
+    return spark.createDataFrame([(runtime.execute_once(spark, store, rule, _t(spark, d, "events"))["signals"],)], "signals long")
+
+
+@_add("mon_07_promotion", "SELECT event_id, CASE WHEN value > 99.5 THEN 'high' ELSE 'info' END AS severity FROM events WHERE value > 99 ORDER BY event_id LIMIT 100")
+def promotion(spark, d):
+    store = runtime.Store()
+    spec = {"name": "high", "sql": "SELECT event_id, value FROM input WHERE value > 99 ORDER BY event_id", "promotion": {"title": "{event_id}", "severity_rules": [{"when": {"field": "value", "op": ">", "value": 99.5}, "severity": "high"}]}}
+    runtime.execute_once(spark, store, store.save_rule(spec), _t(spark, d, "events"))
+    return spark.createDataFrame([(int(e["title"]), e["severity"]) for e in store.focus_events(limit=1000)], "event_id long, severity string")
+
+
+@_add("mon_01_ingest", "SELECT CAST(event_id AS VARCHAR) AS source_key, event_type FROM events WHERE event_id < 50")
+def ingest(spark, d):
+    e = _t(spark, d, "events").where("event_id < 50").select(F.to_json(F.struct("event_id", "event_type", "ts")).alias("payload_json"))
+    root = _folder(spark)
+    events.ingest(events.normalize(e, "feed", {"event_time": "ts", "event_type": "event_type", "source_key": "event_id"}), root)
+    return events.read(spark, root, "feed").select("source_key", "event_type")
+
+
+@_add("job_01_submit", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def submitted(spark, d):
+    s = Session(spark)
+    s.create_temp_view("orders", _t(spark, d, "orders"))
+    rows = s.submit("SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus", retries=1).result()
+    return spark.createDataFrame([tuple(r) for r in rows], "o_orderstatus string, n long")
+
+
+@_add("ext_02_plugin_rewrite", "SELECT r_name FROM region")
+def rewritten(spark, d):
+    s = Session(spark)
+    s.create_temp_view("region", _t(spark, d, "region"))
+    s.plugins.register(Plugin("rename", {"before_parse": lambda c: Outcome(sql=c["sql"].replace("areas", "region"))}))
+    return s.sql("SELECT r_name FROM areas")
+
+
+@_add("ext_03_catalog_search")
+def capability_search(spark, d):
+    return spark.createDataFrame([(e["kind"], e["name"]) for e in capabilities.search("nearest vectors of a subset")], "kind string, name string")
+
+
+def _extended(name: str, text: str, oracle: str, tables: str) -> None:
+    """A statement beyond the dialect, forwarded to Spark SQL."""
+
+    def run(spark, d):
+        s = Session(spark, extended=True)
+        for t in tables.split():
+            s.create_temp_view(t, _t(spark, d, t))
+        return s.sql(text)
+
+    _add(name, oracle)(run)
+
+
+_extended("win_01_analytic_extended", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer", "customer")
+_extended("flt_08_extended", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 9 AND p_name LIKE '%a%' AND p_brand IS NOT NULL", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 9 AND p_name LIKE '%a%' AND p_brand IS NOT NULL", "part")
+_extended("sql_cte_extended", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10) SELECT c_name, n FROM big JOIN customer ON c_custkey = o_custkey", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10) SELECT c_name, n FROM big JOIN customer ON c_custkey = o_custkey", "orders customer")
+
 
 def queries() -> dict:
     return dict(_QUERIES)

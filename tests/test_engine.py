@@ -116,6 +116,14 @@ def test_cjk_keywords(spark):
     assert got[0] == 1 and got[1] in (3, 4) and 2 not in got
 
 
+def test_tokens(spark):
+    df = spark.createDataFrame([("Ab-1 支付 Ünïx カナ한국",), (None,), ("",)], "t string")
+    got = sorted(df.select(keyword.tokens(F.col("t")).alias("k")).first()["k"])
+    run = "カナ한국"
+    assert got == sorted(["ab", "1", "n", "x", "支", "付", "支付", "支付", *run, *(run[i : i + 2] for i in range(3)), *(run[i : i + 3] for i in range(2)), run])
+    assert [r[0] for r in df.select(F.size(keyword.tokens(F.col("t")))).collect()][1:] == [0, 0]
+
+
 def test_hash_embedding(spark):
     import hashlib
     import struct
