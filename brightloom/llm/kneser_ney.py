@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 from .common import shared_path, slices, stage, texts
 
 #: Pairs a task counts before it sends them on.
-BUFFER = 2_000_000
+BUFFER = 1_200_000
 #: Bytes of text a bucket stands for.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 10_000_000
 #: Share of a sample's tokens from which a context is hot, and the sample's share of rows.
 HOT, HOT_SAMPLE = 0.002, 0.01
 REMEMBER = 400_000
@@ -342,8 +342,8 @@ def fit(train: DataFrame) -> Model:
     def _summary(values: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in values], names)
 
-    blocks = train.mapInArrow(count, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    by_word = blocks.mapInArrow(merge, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    blocks = train.mapInArrow(count, "bucket int, blob binary").repartition(3 * buckets, "bucket").sortWithinPartitions("bucket")
+    by_word = blocks.mapInArrow(merge, "bucket int, blob binary").repartition(3 * buckets, "bucket").sortWithinPartitions("bucket")
     rows = by_word.mapInArrow(words, ", ".join(f"{x} long" for x in names))
     got = stage(rows, "kneser-ney-sums").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names)).first()
     d, e = _discounts([got[f"n{i}"] for i in range(1, 5)]), _discounts([got[f"m{i}"] for i in range(1, 5)])
