@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -104,6 +104,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
         yield batch.slice(at)
 
 
+def by_slices(strings: pa.Array, f: Callable[[list], Iterable], kind: pa.DataType, most: int = 4_000_000) -> pa.Array:
+    """f's values for an array of strings, computed on cuts of it as slices() makes them."""
+    cuts = slices(iter([pa.RecordBatch.from_arrays([strings], ["s"])]), "s", most)
+    made = [pa.array(f(b.column("s").to_pylist()), kind) for b in cuts]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, per: int = 100_000) -> DataFrame:
     """df with `rank`: gapless from 0 within each value of keys, however many rows share one.
 

@@ -21,14 +21,13 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ship, slices, texts
+from .common import by_slices, ship, slices, texts
 
 K1, B = 1.2, 0.75
 BLOCK = 4
@@ -244,16 +243,18 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without a leak of items."""
     ship(docs.sparkSession)
 
-    def leaking(index):
-        def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in batches:
-                out = np.zeros(len(s), bool)
-                for at in range(0, len(s), 256):
-                    out[[at + hit[0] for hit in _search(index.value, s.iloc[at : at + 256].fillna("").tolist())]] = True
-                yield pd.Series(out)
+    def free_of(index):
+        def free(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            def without(part: list[str]) -> np.ndarray:
+                out = np.ones(len(part), bool)
+                out[[hit[0] for hit in _search(index.value, part)]] = False
+                return out
+
+            for texts_ in batches:
+                yield by_slices(texts_, without, pa.bool_(), 1_000_000)
 
-        return F.pandas_udf(leaks, "boolean")
+        return F.arrow_udf(free, "boolean")
 
     for built in indexes(items):
-        docs = docs.where(~leaking(docs.sparkSession.sparkContext.broadcast(built))(F.col("text").cast("string")))
+        docs = docs.where(free_of(docs.sparkSession.sparkContext.broadcast(built))(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return docs

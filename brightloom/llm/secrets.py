@@ -15,13 +15,12 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, slices, texts
+from .common import by_slices, ship, slices, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Power of ten of guesses from which a value counts as a secret.
@@ -169,8 +168,8 @@ def redact(docs: DataFrame, cost: float = COST) -> DataFrame:
 
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: None if t is None else redacted(t, cost=cost))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts_ in batches:
+            yield by_slices(texts_, lambda part: [None if t is None else redacted(t, cost=cost) for t in part], pa.string())
 
-    return docs.withColumn("text", F.pandas_udf(run, "string")(F.col("text")))
+    return docs.withColumn("text", F.arrow_udf(run, "string")(F.col("text").cast("string")))

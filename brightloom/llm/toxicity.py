@@ -16,13 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, slices, texts
+from .common import by_slices, ship, slices, texts
 
 SIZES = (4, 5, 6)
 HASH_BITS = 22
@@ -67,13 +66,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     both = np.zeros((2, 1 << HASH_BITS), np.int32)
     some = False
-    for b in slices(batches, "text", 1_000_000):
+    for b in slices(batches, "text", 500_000):
         y = b.column("y").to_numpy(zero_copy_only=False)
         for h, doc in _ngrams(b.column("text").to_pylist()):
             seen = np.unique(doc.astype(np.int64) << HASH_BITS | h)
             cls = y[seen >> HASH_BITS]
             for c in (0, 1):
-                both[c] += np.bincount(seen[cls == c] & ((1 << HASH_BITS) - 1), minlength=1 << HASH_BITS).astype(np.int32)
+                np.add.at(both[c], seen[cls == c] & ((1 << HASH_BITS) - 1), 1)
             some = True
     if some:
         at = np.flatnonzero(both.any(axis=0))
@@ -142,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << HASH_BITS, -1, np.int32)
         place[hashes] = np.arange(len(hashes), dtype=np.int32)
-        for b in slices(batches, "text", 1_000_000):
+        for b in slices(batches, "text", 500_000):
             seen = _present(b.column("text").to_pylist(), place, len(hashes))
             cut = np.searchsorted(seen, np.arange(b.num_rows + 1) * len(hashes))
             packed = [(seen[i:j] % len(hashes)).astype("<u2").tobytes() for i, j in zip(cut, cut[1:], strict=False)]
@@ -178,7 +177,7 @@ def scores(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << HASH_BITS, -1, np.int32)
         place[model.hashes] = np.arange(len(model.hashes), dtype=np.int32)
-        for b in slices(batches, "text", 1_000_000):
+        for b in slices(batches, "text", 500_000):
             p = 1 / (1 + np.exp(-np.clip(model._margins(b.column("text").to_pylist(), place), -40, 40)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p)], [*kept, "score"])
 
@@ -191,12 +190,11 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     ship(docs.sparkSession)
 
-    def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         place = np.full(1 << HASH_BITS, -1, np.int32)
         place[model.hashes] = np.arange(len(model.hashes), dtype=np.int32)
         least = np.log(threshold / (1 - threshold))
-        for s in batches:
-            parts = [model._margins(s.iloc[at : at + 256].fillna("").tolist(), place) for at in range(0, len(s), 256)]
-            yield pd.Series(np.concatenate(parts) < least if parts else [], dtype=bool)
+        for texts_ in batches:
+            yield by_slices(texts_, lambda part: model._margins(part, place) < least, pa.bool_(), 500_000)
 
-    return docs.where(F.pandas_udf(keep, "boolean")(F.col("text").cast("string")))
+    return docs.where(F.arrow_udf(keep, "boolean")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
