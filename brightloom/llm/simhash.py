@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .common import slices, stage, texts
 
 TILE = 1024
 BLOCK = 8192
+#: Bytes of packed text that a part of a block may hold on average, and candidate pairs between two looks at what is linked.
+PART_BYTES, CONFIRM = 8_000_000, 4096
 #: Distinct fingerprints that an average block may hold before one more band is asked to agree.
 AVERAGE = 4096
 
@@ -104,10 +107,11 @@ def agreeing(n: int, radius: int) -> int:
     return k
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None, radius: int, similar: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, least node it reaches) of the links among the rows of fp (uint64, a column per 64 bits).
 
-    With side, only links between rows of different sides are looked for.
+    With side, only links between rows of different sides are looked for. With similar, rows within the radius link only
+    if it holds of their places; pairs that other links join already are not tried.
     """
     pops = np.bitwise_count(fp).sum(axis=1, dtype=np.int32)
     order = np.argsort(pops, kind="stable")
@@ -126,6 +130,23 @@ def _forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None, radius: i
             while not np.array_equal(nxt := label[label], label):
                 label[:] = nxt
 
+    def confirmed(a: np.ndarray, b: np.ndarray) -> None:
+        for s in range(0, len(a), CONFIRM):
+            x, y = a[s : s + CONFIRM], b[s : s + CONFIRM]
+            u, v = label[x], label[y]
+            apart = u != v
+            above, got = {}, []
+            for p, q, c, d in zip(*(z[apart].tolist() for z in (x, y, u, v)), strict=True):
+                while c in above:
+                    c = above[c]
+                while d in above:
+                    d = above[d]
+                if c != d and similar(int(order[p]), int(order[q])):
+                    above[max(c, d)] = min(c, d)
+                    got.append((p, q))
+            if got:
+                unite(*np.array(got).T)
+
     for i in range(0, n, TILE):
         for j in range(i, n, TILE):
             if pops[j] - pops[min(i + TILE, n) - 1] > radius:
@@ -138,7 +159,7 @@ def _forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None, radius: i
                 hit = np.triu(hit, 1)
             a, b = np.nonzero(hit)
             if len(a):
-                unite(a + i, b + j)
+                (confirmed if similar else unite)(a + i, b + j)
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, label, node)
     root = least[label]
@@ -146,8 +167,21 @@ def _forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None, radius: i
     return node[linked], root[linked]
 
 
-def _compare(radius: int, words: int):
-    columns = ("block", "key", "lo", "hi", "part", "node", *(f"f{w}" for w in range(words)))
+def _set(packed: bytes, width: int) -> np.ndarray:
+    """The sorted hashes of a packed text's shingles, each once."""
+    return np.unique(_shingles([zlib.decompress(packed).decode("utf-8", "surrogatepass")], width)[0])
+
+
+def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, each element once) have that Jaccard similarity at least."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _compare(radius: int, words: int, width: int = 0, similarity: float = 0.0):
+    columns = ("block", "key", "lo", "hi", "part", "node", *(f"f{w}" for w in range(words)), *(("packed",) if width else ()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by their block; a block may run over several batches."""
@@ -159,7 +193,17 @@ def _compare(radius: int, words: int):
             if len(node) < 2:
                 return node[:0], node[:0]
             side = None if (part == part[0]).all() else part
-            return _forest(np.stack(fp, axis=1).view(np.uint64), node, side, radius)
+            similar = None
+            if width:
+                packed, sets = fp.pop(), {}
+
+                def of(k: int) -> np.ndarray:
+                    if k not in sets:
+                        sets[k] = _set(packed[k], width)
+                    return sets[k]
+
+                similar = lambda p, q: jaccard_reaches(of(p), of(q), similarity)
+            return _forest(np.stack(fp, axis=1).view(np.uint64), node, side, radius, similar)
 
         def edges(pairs: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs, strict=True)], ["src", "dst"])
@@ -185,23 +229,28 @@ def _compare(radius: int, words: int):
     return run
 
 
-def links(nodes: DataFrame, blocks: Column, words: int, radius: int) -> DataFrame:
+def links(nodes: DataFrame, blocks: Column, words: int, radius: int, packed: DataFrame | None = None, width: int = 0, similarity: float = 0.0) -> DataFrame:
     """Edges (src, dst) that span the classes of nodes (node: distinct longs; f0, f1 ...: the fingerprint).
 
-    blocks: an array of longs; two nodes are compared if some element, at the same place, is equal.
+    blocks: an array of longs; two nodes are compared if some element, at the same place, is equal. With packed (node,
+    packed: its text, zlib-compressed), nodes within the radius link only if the sets of their texts' shingles of `width`
+    words have that Jaccard similarity; nodes then has size, the bytes of packed.
     """
     prints = [f"f{w}" for w in range(words)]
-    keyed = nodes.select("node", *prints, F.posexplode(blocks).alias("block", "key"))
-    size = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    weight = F.lit(0) if packed is None else F.col("size")
+    keyed = nodes.select("node", *prints, weight.alias("size"), F.posexplode(blocks).alias("block", "key"))
+    size = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where(F.col("n") > 1)
     cut = (
-        keyed.join(size, ["block", "key"])
-        .withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+        keyed.drop("size").join(size, ["block", "key"])
+        .withColumn("parts", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("bytes") / F.lit(PART_BYTES))).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64(*prints), F.col("parts")).cast("int"))
         .withColumn("pair", F.explode(F.expr("transform(sequence(0, parts - 1), q -> struct(least(q, part) AS lo, greatest(q, part) AS hi))")))
         .select("block", "key", "pair.lo", "pair.hi", "part", "node", *prints)
     )
+    if packed is not None:
+        cut = cut.join(packed, "node")
     tasks = cut.repartition("block", "key", "lo", "hi").sortWithinPartitions("block", "key", "lo", "hi")
-    return tasks.mapInArrow(_compare(radius, words), "src long, dst long")
+    return tasks.mapInArrow(_compare(radius, words, width, similarity), "src long, dst long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,12 +309,17 @@ def bits_apart(similarity: float, words: int = WORDS) -> int:
     return math.floor(n * p + math.sqrt(n * p * (1 - p)))
 
 
-def _sketches(batch: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text WORDS fingerprints (of its shingles' hashes, mixed anew for each) and KEYS min-wise keys of the shingles."""
+def _sketches(batch: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's set of shingles: WORDS fingerprints (the hashes mixed anew for each), KEYS min-wise keys and a hash of the set."""
     shingle, n = _shingles(batch, width)
-    prints, keys = np.zeros((len(batch), WORDS), np.uint64), np.zeros((len(batch), KEYS), np.uint64)
+    prints, keys, sets = np.zeros((len(batch), WORDS), np.uint64), np.zeros((len(batch), KEYS), np.uint64), np.zeros((len(batch), 1), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
+        row = np.repeat(np.arange(len(batch)), n)
+        order = np.lexsort((shingle, row))
+        shingle, row = shingle[order], row[order]
+        once = np.append(True, (shingle[1:] != shingle[:-1]) | (row[1:] != row[:-1]))
+        shingle, n = shingle[once], np.bincount(row[once], minlength=len(batch))
         first = np.cumsum(n[full]) - n[full]
         for w in range(WORDS):
             mixed = (shingle ^ (shingle >> np.uint64(29))) * _DRAW[w]
@@ -273,31 +327,39 @@ def _sketches(batch: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
         for k in range(KEYS):
             low = [np.minimum.reduceat((shingle ^ (shingle >> np.uint64(31))) * _DRAW[WORDS + 2 * k + i], first) for i in (0, 1)]
             keys[full, k] = low[0] * np.uint64(0x9E3779B97F4A7C15) ^ low[1]
-    return prints, keys
+        sets[full, 0] = [xxhash.xxh64_intdigest(shingle[a : a + m].tobytes(), 42) for a, m in zip(first.tolist(), n[full].tolist(), strict=True)]
+    return prints, keys, sets
 
 
 def distinct(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, all columns, with one row of each near-duplicate class: that of the least doc_id, then of the least text hash.
 
-    Similarity is the Jaccard similarity of the sets of `width`-word shingles as 64 * WORDS fingerprint bits estimate it
-    (an error of about 0.03 near 0.8, taken in favour of a link). At the radius this takes, bands of a fingerprint are too
-    short to block by, so blocks are of texts that agree in one of KEYS min-wise keys of two shingles each: of pairs at 0.8
-    that is 99.8 in a hundred, more above. Tiles within blocks are compared and skipped as in classes().
+    Similarity is the Jaccard similarity of the sets of `width`-word shingles. Texts of one set (by its 64-bit hash) are one
+    node; nodes whose 64 * WORDS fingerprint bits estimate a near similarity are candidates, and a candidate pair links only
+    if its sets really have that similarity. At the radius this takes, bands of a fingerprint are too short to block by, so
+    blocks are of texts that agree in one of KEYS min-wise keys of two shingles each: of pairs at 0.8 that is 99.8 in a
+    hundred, more above. Tiles within blocks are compared and skipped as in classes(). Each block holds its texts packed,
+    and is cut into more parts where they are long.
     """
     d = texts(docs).select("doc_id", F.xxhash64("text").alias("t"), "text")
     names = [*(f"f{w}" for w in range(WORDS)), *(f"k{k}" for k in range(KEYS))]
+    more = ("t", *names, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1_000_000):
-            made = np.concatenate(_sketches(b.column("text").to_pylist(), width), axis=1).view(np.int64)
-            cols = [b.column("doc_id"), b.column("t"), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(made.shape[1]))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", *names])
-
-    schema = T.StructType([d.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("t", *names))])
-    rows = stage(d.mapInArrow(run, schema).withColumn("node", F.xxhash64(*names[:WORDS])), "sketches")
+            batch = b.column("text").to_pylist()
+            made = np.concatenate(_sketches(batch, width), axis=1).view(np.int64)
+            packed = pa.array([zlib.compress(x.encode("utf-8", "surrogatepass"), 1) for x in batch], pa.binary())
+            cols = [b.column("doc_id"), b.column("t"), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(made.shape[1])), packed]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *more, "packed"])
+
+    schema = T.StructType([d.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in more), T.StructField("packed", T.BinaryType())])
+    rows = stage(d.mapInArrow(run, schema), "sketches")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t"))
-    nodes = stage(rows.groupBy("node").agg(*(F.first(x).alias(x) for x in names), best.alias("best")), "nodes")
-    found = components(links(nodes, F.array(*names[WORDS:]), WORDS, bits_apart(similarity)))
+    size = F.max(F.octet_length("packed")).alias("size")
+    nodes = stage(rows.groupBy("node").agg(*(F.first(x).alias(x) for x in names), best.alias("best"), size), "nodes")
+    packed = rows.select("node", "packed").dropDuplicates(["node"])  # of texts with one set of shingles any will do
+    found = components(links(nodes, F.array(*names[WORDS:]), WORDS, bits_apart(similarity), packed, width, similarity))
     named = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "best")
     keep = named.groupBy("class").agg(F.min("best").alias("best"))
     kept = stage(named.join(keep.select("class", F.col("best").alias("keep")), "class").select("node", "keep"), "kept")

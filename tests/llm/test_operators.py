@@ -106,6 +106,17 @@ def test_distinct_keeps_one_of_each(spark, docs):
     assert simhash.distinct(df.where("false")).count() == 0
 
 
+def test_distinct_keeps_texts_that_share_a_repeated_passage(spark):
+    made = []
+    for i in range(12):
+        own = [f"d{i}w{x}" for x in range(200)]
+        made.append((i, " ".join([*own, *("the same seven words again and again".split() * 300)])))
+    again = "the same seven words again and again".split() * 2
+    made.append((100, " ".join([*(f"d0w{x}" for x in range(200)), *again])))  # the set of document 0
+    got = simhash.distinct(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in got.collect()) == list(range(12))
+
+
 def test_packing(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
