@@ -299,14 +299,17 @@ def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 
 #: 64-bit fingerprints that the estimate of a similarity rests on, and the min-wise keys of two hashes that block it.
 WORDS, KEYS = 4, 6
+#: Standard errors that a candidate's fingerprint may be farther away than the similarity has it: by the binomial law one
+#: pair in a hundred million is lost; sets of a few shingles vary more (4 and 5 of them differ in 48 bits, not 39).
+ERRORS = 6
 _DRAW = np.random.default_rng(3).integers(1, 1 << 62, 2 * KEYS + WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bits_apart(similarity: float, words: int = WORDS) -> int:
-    """Bits in which fingerprints of that Jaccard similarity differ on average, and one standard error more."""
+    """Bits in which fingerprints of that Jaccard similarity differ on average, and ERRORS standard errors more."""
     n = 64 * words
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(n * p + math.sqrt(n * p * (1 - p)))
+    return math.floor(n * p + ERRORS * math.sqrt(n * p * (1 - p)))
 
 
 def _sketches(batch: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

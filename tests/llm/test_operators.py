@@ -117,6 +117,24 @@ def test_distinct_keeps_texts_that_share_a_repeated_passage(spark):
     assert sorted(x["doc_id"] for x in got.collect()) == list(range(12))
 
 
+def test_distinct_links_at_the_similarity_and_not_below(spark):
+    r = np.random.default_rng(6)
+    made, near, far = [], 0, 0
+    for i in range(400):
+        w = [f"p{i}w{x}" for x in range(300)]
+        v = list(w)
+        for x in r.choice(np.arange(5, 295, 10), 6 + i % 6, replace=False):  # each change costs five shingles
+            v[x] = "changed"
+        sets = [{tuple(t[k : k + 5]) for k in range(296)} for t in (w, v)]
+        near += len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+        far += len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+        made += [(2 * i, " ".join(w), len(sets[0] & sets[1]) / len(sets[0] | sets[1])), (2 * i + 1, " ".join(v), 0.0)]
+    left = {x["doc_id"] for x in simhash.distinct(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string")).collect()}
+    assert near > 50 and far > 50 and all(2 * i in left for i in range(400))
+    linked = [made[2 * i][2] for i in range(400) if 2 * i + 1 not in left]
+    assert all(j >= 0.8 for j in linked) and len(linked) >= 0.98 * near
+
+
 def test_packing(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
