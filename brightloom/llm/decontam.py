@@ -2,11 +2,14 @@
 
 Every document is cut into overlapping passages of `window` words (at least twice the longest item, a step of half), so
 each run of words as long as an item lies whole in one. A passage's distinct words are the query; contributions are
-divided by the item's score for its own text, so one threshold fits all items. Items lie in blocks of BLOCK; a batch's
-passages first sum the blocks' maxima and only those that reach the threshold in some block run block-max WAND over the
-postings. Retrieved pairs are verified on the whole document: of the item's five-word shingles at least `overlap` must
-occur there, and of those of its question and of its answer (the last sentence, or the last third of a single one) at
-least half. Words are runs of letters, digits and underscores, lower-cased.
+divided by the item's score for its own text, so one threshold fits all items. Items lie in blocks of BLOCK.
+
+Pairs are verified on the whole document: of the item's five-word shingles at least `overlap` must occur there, and of
+those of its question and of its answer (the last sentence, or the last third of a single one) at least half. So only
+documents that hold that share of some item's shingles, found by the shingles' hashes, can match, and nothing that
+verifies is missed. Their passages sum the blocks' maxima, those that reach the threshold in some block run block-max WAND
+over the postings, and pairs that no passage retrieves, as the item lies scattered, are scored by their best passage.
+Words are runs of letters, digits and underscores, lower-cased.
 
 Statistics cover all items. The index is built and broadcast for at most INDEX_BYTES of item text at a time; more items
 make more blocks, each of which scans the documents. Null or empty items match nothing, nor do documents without words.
@@ -32,7 +35,7 @@ from .common import by_slices, ship, slices, texts
 K1, B = 1.2, 0.75
 BLOCK = 4
 INDEX_BYTES = 32_000_000
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 OVERLAP, PART_OVERLAP, WIDTH = 0.8, 0.5, 5
 LEAST_WINDOW = 128
 _WORD = re.compile(r"\w+")
@@ -55,6 +58,14 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return w[:cut], w[cut:]
 
 
+def _rolled(terms: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` terms in a row."""
+    mixed, out = terms.astype(np.uint64) + np.uint64(1), np.zeros(max(0, len(terms) - width + 1), np.uint64)
+    for k in range(width):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + mixed[k : k + len(out)] * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(32))
+
+
 def shingles(w: list[str]) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))} if w else set()
 
@@ -91,6 +102,45 @@ class Index:
         self.flat_block = np.concatenate(self.blocks) if self.blocks else np.zeros(0, np.int64)
         self.flat_max = np.concatenate(self.maxima) if self.maxima else np.zeros(0)
         self.n_blocks = -(-len(items) // BLOCK)
+        self.own: list[dict[int, float]] = [{} for _ in items]
+        for w, p in found.items():
+            for i, g in p:
+                self.own[i][self.term[w]] = float(g)
+        # by the width of items' shingles (less than WIDTH for shorter items): their hashes, sorted, and which items hold each
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        hashes = defaultdict(list)
+        for i, own in enumerate(self.shingles):
+            for x in own:
+                hashes[len(x)].append((int(_rolled(np.array([self.term[w] for w in x]), len(x))[0]), i))
+        for n, pairs in hashes.items():
+            pairs = sorted(set(pairs))
+            self.held[n] = np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
+        self.need = np.array([max(1, int(np.ceil(OVERLAP * len(x) - 1e-9))) for x in self.shingles], np.int64)
+
+    def candidates(self, terms: np.ndarray, unit: np.ndarray) -> dict[int, list[int]]:
+        """By document, the items of which it holds enough shingles to verify.
+
+        terms: all documents' words in a row (-1: of no item), unit: the document of each.
+        """
+        count: Counter = Counter()
+        for n, (hashes, items) in self.held.items():
+            at = np.arange(len(terms) - n + 1)
+            known = np.concatenate([[0], np.cumsum(terms < 0)])
+            at = at[(known[at + n] == known[at]) & (unit[at] == unit[at + n - 1])] if len(at) else at
+            roll = _rolled(terms, n)[at] if len(at) else np.zeros(0, np.uint64)
+            lo, hi = np.searchsorted(hashes, roll), np.searchsorted(hashes, roll, "right")
+            hit = np.flatnonzero(hi > lo)
+            if not len(hit):
+                continue
+            there = np.unique(np.stack([unit[at[hit]], lo[hit], hi[hit]], axis=1), axis=0)  # each shingle once a document
+            for d, a, b in there.tolist():
+                for i in items[a:b].tolist():
+                    count[d, i] += 1
+        out = defaultdict(list)
+        for (d, i), c in count.items():
+            if c >= self.need[i]:
+                out[d].append(i)
+        return out
 
     def bounds(self, query: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """Of n queries, given as pairs (query, term), those whose block maxima reach the threshold in some block."""
@@ -100,6 +150,12 @@ class Index:
         best = np.bincount(cell, self.flat_max[at], n * self.n_blocks).reshape(n, self.n_blocks)
         return np.flatnonzero(best.max(axis=1, initial=0) >= THRESHOLD - 1e-9)
 
+    def best(self, item: int, query: np.ndarray, term: np.ndarray, first: int, end: int) -> float:
+        """The item's largest score for the queries from first to end, given as pairs (query, term)."""
+        a, b = np.searchsorted(query, [first, end])
+        gain = np.array([self.own[item].get(t, 0.0) for t in term[a:b].tolist()])
+        return float(np.bincount(query[a:b] - first, gain, max(1, end - first)).max())
+
     def wand(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """Every item whose score for the terms reaches the threshold, by block-max WAND."""
         end, out = len(self.ids), []
@@ -153,18 +209,20 @@ def _overlap(part: set, there: set) -> float:
 def _search(index: Index, batch: list[str]) -> Iterator[tuple[int, int, float, float, float, float]]:
     """Row of the batch, item, score, overlap, that of the question and of the answer, of every verified pair."""
     step = max(LEAST_WINDOW, 2 * index.longest) // 2
-    get, docs, row, unit, term, base = index.term.get, [], [], [], [], 0
-    for text in batch:
-        w = words(text)
-        docs.append(w)
-        t = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
-        at = np.flatnonzero(t >= 0)
+    if not index.term:
+        return
+    get, docs = index.term.get, [words(text) for text in batch]
+    terms = [np.fromiter((get(x, -1) for x in w), np.int64, len(w)) for w in docs]
+    may = index.candidates(np.concatenate(terms), np.repeat(np.arange(len(docs)), [len(w) for w in docs]))
+    unit, term, row, base = [], [], [], 0
+    for d in sorted(may):
+        at = np.flatnonzero(terms[d] >= 0)
         unit.append(base + at // step)
-        term.append(t[at])
-        n = len(w) // step + 1
-        row += [len(docs) - 1] * n
+        term.append(terms[d][at])
+        n = len(docs[d]) // step + 1
+        row += [d] * n
         base += n
-    if not index.term:
+    if not may:
         return
     unit, term, row, v = np.concatenate(unit), np.concatenate(term), np.array(row), len(index.term)
     prior = unit - 1  # a passage is a unit and the next one of the same document
@@ -180,7 +238,11 @@ def _search(index: Index, batch: list[str]) -> Iterator[tuple[int, int, float, f
             for item, score in index.wand(term[a:b].tolist()):
                 key = (int(row[q]), item)
                 found[key] = max(score, found.get(key, 0.0))
-    for d, hits in itertools.groupby(sorted(found), key=lambda k: k[0]):
+    for d, items in may.items():
+        for item in items:
+            if (d, item) not in found:
+                found[d, item] = index.best(item, query, term, *np.searchsorted(row, [d, d + 1]).tolist())
+    for d, hits in itertools.groupby(sorted((d, i) for d, items in may.items() for i in items), key=lambda k: k[0]):
         w = docs[d]
         by = {n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for n in range(1, WIDTH + 1)}
         for _, item in hits:

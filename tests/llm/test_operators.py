@@ -230,6 +230,28 @@ def test_decontamination(spark, docs):
     assert decontam.matches(all_, items.where("false")).count() == 0 and decontam.matches(all_.where("false"), items).count() == 0
 
 
+def test_decontamination_finds_scattered_items(spark):
+    items = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    text = " ".join(f"filler{i % 977}" for i in range(3000)).split()
+    planted, want = [], set()
+    for k, r in enumerate(items.orderBy("item_id").collect()):
+        q, a = decontam.parts(r["text"])
+        thirds = [q[: len(q) // 2], q[len(q) // 2 :], a]
+        for n, cut in ((0, [q, a]), (1, thirds)):
+            w = text[:200]
+            for i, part in enumerate(cut):
+                w = w + part + text[300 + 600 * i : 900 + 600 * i]
+            full = [decontam.shingles(x) for x in (decontam.words(r["text"]), q, a)]
+            by = [{tuple(w[i : i + len(next(iter(s)))]) for i in range(len(w))} if s else set() for s in full]
+            shares = [len(s & b) / len(s) if s else 1.0 for s, b in zip(full, by)]
+            if shares[0] >= 0.8 and min(shares[1:]) >= 0.5:
+                want.add((2 * k + n, r["item_id"]))
+            planted.append((2 * k + n, " ".join(w)))
+    got = decontam.matches(spark.createDataFrame(planted, "doc_id long, text string"), items).collect()
+    assert len(want) > 50 and want <= {(r["doc_id"], r["item_id"]) for r in got}
+    assert any(r["score"] < decontam.THRESHOLD for r in got) and all(r["score"] > 0 for r in got)
+
+
 def test_wand_finds_all_above_the_threshold(spark):
     r = np.random.default_rng(3)
     items = [(i, " ".join(f"w{x}" for x in r.zipf(1.4, 30) % 200)) for i in range(300)]
