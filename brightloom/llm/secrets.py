@@ -1,15 +1,19 @@
 """Secret scan: fixed patterns, and values in credential contexts whose guess cost is high.
 
 Patterns give spans of kinds assign, access and hex (see find). A value that a credential word introduces ("password is X",
-"Bearer X", "login: X") is cut into words, dates, repeats, keyboard walks and brute-force spans at the least total guess
-cost, by dynamic programming over its characters. From 10^COST guesses on it is a span of kind guess: a placeholder such
-as "changeme123" or "example" is cheap, a random string is not. Spans are in code points, end exclusive.
+"Bearer X", "auth token X"; a cheap value that is such a word itself introduces the next one) is cut into words, dates,
+repeats, keyboard walks and brute-force spans at the least total guess cost, by dynamic programming over its characters.
+From 10^COST guesses on it is a span of kind guess: a placeholder such as "changeme123" or "example" is cheap, a random
+string, of letters only or not, is not. Words are common ones and, for values of letters only (which may be prose), those
+that two tokenizers' vocabularies hold, by rank. Spans are in code points, end exclusive.
 
 Null or empty texts have no spans. Every text is read whole; a value's cost takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
 import math
 import re
@@ -29,9 +33,11 @@ _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _STEMS = ("passw", "secret", "token", "api")
+_CREDENTIAL = r"(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|api[ _-]?key|access[ _-]?key|private[ _-]?key|client[ _-]?secret|credentials?|auth(?:orization)?))\b"
+_INTRODUCES = re.compile(_CREDENTIAL)
 _CONTEXT = re.compile(
-    r"(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|api[ _-]?key|access[ _-]?key|private[ _-]?key|client[ _-]?secret|credentials?|auth(?:orization)?))\b"
-    r"[\"']?\x20{0,4}(?:(?ai:is|was)\x20|[:=]|->)?\x20{0,4}[\"'`]?([^\s\"'`<>,;]+)"
+    _CREDENTIAL
+    + r"[\"']?\x20{0,4}(?:(?ai:is|was)\x20|[:=]|->)?\x20{0,4}[\"'`]?([^\s\"'`<>,;]+)"
 )
 _CONTEXT_STEMS = ("pass", "pwd", "secret", "token", "bearer", "key", "credential", "auth")
 _COMMON = (
@@ -44,8 +50,25 @@ _COMMON = (
     "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
     "passwort geheim clave contrasena secreto motdepasse bonjour hola hallo amor liebe amour casa haus maison"
 ).split()
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(_COMMON)))}
-_LONGEST = max(map(len, _RANK))
+_VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
+
+
+@functools.cache
+def _ranks(letters: bool) -> tuple[dict[str, int], int]:
+    """The place of each common word, then, with letters, of the vocabularies' tokens that begin a word; the longest's length."""
+    out = {w: i + 1 for i, w in reversed(list(enumerate(_COMMON)))}
+    if letters:
+        import public_tokenizers
+    for name in _VOCABULARIES if letters else ():
+        with open(public_tokenizers.path(name), "rb") as lines:
+            for line in lines:
+                token, rank = line.split()
+                word = base64.b64decode(token).decode("utf-8", "replace").lower()
+                if word[:1] == " " and len(word) > 3 and word[1:].isalpha():
+                    out[word[1:]] = min(out.get(word[1:], 1 << 30), len(_COMMON) + int(rank))
+    return out, max(map(len, out))
+
+
 _LEET = str.maketrans("04318$5@7", "oaeibssat")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, i + 0.5 * r) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
@@ -70,18 +93,18 @@ def _runs(value: str, joins) -> list[tuple[int, int]]:
 def guess_cost(value: str) -> float:
     """Base-10 logarithm of the guesses that the cheapest segmentation needs."""
     n, low = len(value), value.lower()
-    plain = low.translate(_LEET)
+    plain, (ranks, longest) = low.translate(_LEET), _ranks(value.isalpha())
     by_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
 
     def offer(i: int, j: int, cost: float) -> None:
         by_end[j].append((i, cost))
 
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
+        for j in range(i + 3, min(n, i + longest) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
-                if form in _RANK:
+                if form in ranks:
                     case = 0.0 if value[i:j].islower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.0
-                    offer(i, j, math.log10(_RANK[form] + 1) + case + (extra if form != low[i:j] else 0.0))
+                    offer(i, j, math.log10(ranks[form] + 1) + case + (extra if form != low[i:j] else 0.0))
                     break
     for m in _DATE.finditer(value):
         offer(m.start(), m.end(), 2.0 if m.end() - m.start() == 4 else 4.3)
@@ -99,7 +122,7 @@ def guess_cost(value: str) -> float:
     for m in re.finditer(r"(.{2,16}?)\1+", low):  # a block in a row costs what it costs once, times the rounds
         unit = m.group(1)
         if len(set(unit)) > 1:
-            offer(m.start(), m.end(), min(1.0 * len(unit), math.log10(_RANK[unit] + 1) if unit in _RANK else 99.0) + math.log10((m.end() - m.start()) / len(unit)))
+            offer(m.start(), m.end(), min(1.0 * len(unit), math.log10(ranks[unit] + 1) if unit in ranks else 99.0) + math.log10((m.end() - m.start()) / len(unit)))
     best = [0.0] * (n + 1)
     for j in range(1, n + 1):  # a brute-force character costs a factor of ten, a digit a little less, any cut a factor of two
         best[j] = best[j - 1] + (0.9 if value[j - 1].isdigit() else 1.0)
@@ -118,10 +141,14 @@ def find(text: str, cost: float = COST) -> tuple[list[tuple[str, int, int]], lis
         base += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     base += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if any(s in low for s in _CONTEXT_STEMS):
-        for m in _CONTEXT.finditer(text):
-            value = m[1].rstrip(".:!?)")
-            if len(value) >= 6 and guess_cost(value) >= cost and not value.isalpha():
+        m = _CONTEXT.search(text)
+        while m:
+            value, at = m[1].rstrip(".:!?)"), m.end()
+            if len(value) >= 6 and guess_cost(value) >= cost:
                 more.append(("guess", m.start(1), m.start(1) + len(value)))
+            elif _INTRODUCES.match(text, m.start(1)):
+                at = m.start(1)
+            m = _CONTEXT.search(text, at)
     order = lambda s: (s[1], KINDS.index(s[0]))
     return sorted(base, key=order), sorted(more, key=order)
 

@@ -284,6 +284,18 @@ def test_secrets(spark, docs):
     assert "changeme123" in secrets.redacted(more) and "Xk29" not in secrets.redacted(more)
 
 
+def test_secrets_of_letters_and_behind_two_credential_words():
+    for text, secret in (
+        ("password is xkqzjvbnmtrwqhg", "xkqzjvbnmtrwqhg"),
+        ("Authorization: Bearer 9fK2mQ7xLp0Zt", "9fK2mQ7xLp0Zt"),
+        ("auth token 9fK2mQ7xLp0Zt.", "9fK2mQ7xLp0Zt"),
+        ("the secret access key wJalrXUtnFEMIK7MDENG now", "wJalrXUtnFEMIK7MDENG"),
+    ):
+        assert [text[s:e] for _, s, e in secrets.find(text)[1]] == [secret] and secret not in secrets.redacted(text)
+    for text in ("password requirements", "secret organizations", "auth token authentication", "the token international", "password changeme", "Authorization: Bearer", "secret token password"):
+        assert secrets.find(text)[1] == []
+
+
 def test_guess_cost_is_the_least():
     assert secrets.guess_cost("password") < secrets.guess_cost("passwort7") < secrets.guess_cost("xq7vz9kw2")
     for walk in ("qwertyuiop", "20240131", "aaaaaaaa", "abcabcabc", "abcdefgh"):
