@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from . import dsl
 
-#: Result rows of a run that become signals at most: what a person is to look at.
-SIGNALS = 100
-
 
 class Store:
     """Monitors' state and focus events, on the driver, in SQLite (a path or :memory:)."""
@@ -108,16 +105,16 @@ def execute_once(spark: SparkSession, store: Store, rule: str, data: DataFrame,
     found = spark.sql(spec["sql"])
     kept = found.where(dsl.condition(spec["condition"]))
     least = max(1, dsl.min_rows(spec["condition"]))
-    rows = [r.asDict(recursive=True) for r in kept.limit(SIGNALS).collect()]
-    if len(rows) < least and (least <= SIGNALS or kept.count() < least):
-        rows = []
+    enough = least == 1 or kept.limit(least).count() >= least
     at = now.timestamp()
-    promoted = 0
-    for row in rows:
+    signals = promoted = 0
+    for r in kept.toLocalIterator() if enough else ():  # a partition at a time: the driver never holds them all
+        row = r.asDict(recursive=True)
         store.add_signal(rule, at, row)
         promoted += promote(store, rule, spec, row, at)
+        signals += 1
     store.save_state(rule, state | {"last_run": at})
-    return {"status": "done", "signals": len(rows), "focus_events": promoted}
+    return {"status": "done", "signals": signals, "focus_events": promoted}
 
 
 def severity(promotion: dict, row: dict) -> str:

@@ -686,7 +686,7 @@ def promotion(spark, d):
     store = runtime.Store()
     spec = {"name": "high", "sql": "SELECT event_id, value FROM input WHERE value > 99 ORDER BY event_id", "promotion": {"title": "{event_id}", "severity_rules": [{"when": {"field": "value", "op": ">", "value": 99.5}, "severity": "high"}]}}
     runtime.execute_once(spark, store, store.save_rule(spec), _t(spark, d, "events"))
-    return spark.createDataFrame([(int(e["title"]), e["severity"]) for e in store.focus_events(limit=1000)], "event_id long, severity string")
+    return spark.createDataFrame([(int(e["title"]), e["severity"]) for e in store.focus_events(limit=-1)], "event_id long, severity string")
 
 
 @_add("mon_01_ingest", "SELECT CAST(event_id AS VARCHAR) AS source_key, event_type FROM events WHERE event_id < 50")

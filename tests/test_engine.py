@@ -298,3 +298,16 @@ def test_own_state(spark):
     s.start(sink, state_backend="rocksdb").await_termination()
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert [tuple(r) for r in sink.last] == [("a", 3)]
+
+
+def test_monitor_takes_every_matching_row(spark):
+    from brightloom.monitor import runtime
+
+    events = spark.range(1500).selectExpr("id AS event_id", "double(id) AS value")
+    store = runtime.Store()
+    spec = {"name": "high", "sql": "SELECT event_id, value FROM input WHERE value >= 200 ORDER BY event_id", "promotion": {"title": "{event_id}", "severity_rules": []}}
+    rule = store.save_rule(spec)
+    got = runtime.execute_once(spark, store, rule, events)
+    assert (got["signals"], got["focus_events"]) == (1300, 1300)
+    assert sorted(int(e["title"]) for e in store.focus_events(limit=-1)) == list(range(200, 1500))
+    assert store.db.execute("SELECT count(*) FROM signals").fetchone() == (1300,)
