@@ -697,6 +697,65 @@ def ingest(spark, d):
     return events.read(spark, root, "feed").select("source_key", "event_type")
 
 
+# The queries above that run on a few ids, over whole tables.
+
+
+@_add("join_03_full_whole", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+def full_whole(spark, d):
+    return rel.join(_t(spark, d, "supplier").select("s_suppkey"), _t(spark, d, "customer").select("c_custkey"), "s_suppkey", "c_custkey", "full")
+
+
+@_add("stm_src_03_queue_whole", "SELECT event_id, value FROM events")
+def stream_queue_whole(spark, d):
+    e = _t(spark, d, "events").select("event_id", "value")
+    q = streams.QueueSource(spark, e.schema)
+    q.push_arrow(e.where("event_id % 2 = 0").toArrow())
+    q.push_rows([tuple(r) for r in e.where("event_id % 2 = 1").collect()])
+    q.close()
+    sink = streams.MemorySink()
+    streams.Stream(spark, q).start(sink).await_termination()
+    return _rows(spark, sink, "event_id long, value double")
+
+
+@_add("stm_snk_02_file_append_whole", "SELECT event_id, event_type FROM events")
+def stream_file_whole(spark, d):
+    out = f"{_folder(spark)}/out.csv"
+    parts = [p.select("event_id", "event_type") for p in _parts(spark, d)]
+    streams.Stream(spark, streams.MemorySource(spark, parts)).start(streams.FileAppendSink(out)).await_termination()
+    return spark.read.option("header", True).schema("event_id long, event_type string").csv(out)
+
+
+def _restarted(spark, d, **how):
+    source, at, out = streams.MemorySource(spark, [p.select("event_id") for p in _parts(spark, d)]), _folder(spark), f"{_folder(spark)}/out.csv"
+    for most in (1, None):
+        streams.Stream(spark, source).start(streams.FileAppendSink(out), checkpoint=at, **how).await_termination(max_batches=most)
+    return spark.read.option("header", True).schema("event_id long").csv(out).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add("stm_op_15_at_least_once_whole", "SELECT event_id, count(*) AS n FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id % 4 = 0) GROUP BY 1")
+def replayed_whole(spark, d):
+    return _restarted(spark, d)
+
+
+@_add("stm_op_16_best_effort_whole", "SELECT event_id, CAST(1 AS BIGINT) AS n FROM events")
+def resumed_whole(spark, d):
+    return _restarted(spark, d, delivery="best-effort")
+
+
+@_add("key_05_build_index_whole", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY 1")
+def build_index_whole(spark, d):
+    path = keyword.build_keyword_index([_t(spark, d, "documents").select("doc_id", "text")], ["text"], _folder(spark), doc_id_field="doc_id")
+    return spark.read.parquet(f"{path}/terms")
+
+
+@_add("mon_01_ingest_whole", "SELECT CAST(event_id AS VARCHAR) AS source_key, event_type FROM events")
+def ingest_whole(spark, d):
+    e = _t(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", "ts")).alias("payload_json"))
+    root = _folder(spark)
+    events.ingest(events.normalize(e, "feed", {"event_time": "ts", "event_type": "event_type", "source_key": "event_id"}), root)
+    return events.read(spark, root, "feed").select("source_key", "event_type")
+
+
 @_add("job_01_submit", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def submitted(spark, d):
     s = Session(spark)
