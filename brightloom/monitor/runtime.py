@@ -23,6 +23,7 @@ class Store:
             "CREATE TABLE IF NOT EXISTS rules(id TEXT PRIMARY KEY, spec TEXT, state TEXT);"
             "CREATE TABLE IF NOT EXISTS signals(id TEXT PRIMARY KEY, rule TEXT, at REAL, row TEXT);"
             "CREATE TABLE IF NOT EXISTS focus(id TEXT PRIMARY KEY, rule TEXT, at REAL, severity TEXT, title TEXT, summary TEXT, dedupe TEXT, row TEXT, status TEXT);"
+            "CREATE INDEX IF NOT EXISTS focus_by_rule ON focus(rule, at, id);"
             "CREATE TABLE IF NOT EXISTS cursors(consumer TEXT PRIMARY KEY, at REAL, id TEXT);"
         )
 
@@ -132,8 +133,8 @@ def promote(store: Store, rule: str, spec: dict, row: dict, at: float) -> bool:
     p = spec["promotion"]
     values = row | {"name": spec["name"]}
     dedupe = "|".join(str(row.get(k)) for k in p["key_fields"]) if p["key_fields"] else ""
-    for old in store.recent(rule):
-        if p["cooldown_seconds"] and 0 <= at - old["at"] < p["cooldown_seconds"] and (not p["key_fields"] or old["dedupe"] == dedupe):
+    for old in store.recent(rule) if p["cooldown_seconds"] else ():
+        if 0 <= at - old["at"] < p["cooldown_seconds"] and (not p["key_fields"] or old["dedupe"] == dedupe):
             return False
     store.add_focus(rule, at, severity(p, row), dsl.fill(p["title"], values), dsl.fill(p["summary"], values), dedupe, row)
     return True
