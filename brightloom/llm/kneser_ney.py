@@ -1,19 +1,25 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays that workers memory-map.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark and kept as sorted hash arrays that workers memory-map.
 
-Tokens are the words of a text (runs of anything but ASCII white space, A-Z lower-cased) and then one end; a document's
-first token has the start as its context. Words are 48-bit hashes (XXH64), pairs 64-bit mixes of two. The model is
+Tokens are the words of a text (runs of anything but ASCII white space, A-Z lower-cased) and then one end. Words are 48-bit
+hashes (a polynomial over random byte values, mixed). A text's first token has the start as its only context, the second
+the start and the first, every other the two tokens before it. With a(vw) the number of distinct tokens before the pair vw
+(its count, if v is the start), a(w) that of distinct tokens before w, and D, E, G the three discounts of 1, 2 and 3+,
 
-    p(w|u) = max(c(uw) - D(c(uw)), 0) / c(u.) + g(u) p1(w),   p1(w) = max(a(w) - E(a(w)), 0) / a(.) + h / (V + 1),
+    p(w|uv) = max(c(uvw) - D(c(uvw)), 0) / c(uv.) + d(uv) p(w|v),
+    p(w|v)  = max(a(vw) - E(a(vw)), 0) / a(v.) + e(v) p(w),       p(w) = max(a(w) - G(a(w)), 0) / a(.) + g / (V + 1),
 
-a(w) being the number of distinct contexts of w, D and E the three discounts of counts 1, 2 and 3+, g and h what they
-free, and V the number of distinct training tokens: p sums to 1 over them and one unknown.
+d, e and g being what the discounts free, V the number of distinct training tokens: p sums to 1 over them and one unknown.
 
-Counting: tasks count pairs in buffers and send each bucket one compressed block of them; a bucket's task merges blocks,
-writes its pairs as a sorted array and passes on counts by word, merged the same way. Buckets are by context hash, so a
-context's counts meet in one task; contexts that a sample finds hot are spread over all buckets by the following word
-(the sample decides where pairs are counted, never what is counted). The number of buckets follows the input, so a
-task's share stays the same. Files go to the folder in spark.checkpoint.dir, which must be mounted (a file: URI), under
-a temporary name first, so a repeated task replaces a file by an equal one.
+Counting: tasks count trigrams in buffers and send each bucket one compressed block of them. Buckets are by the middle word,
+so the trigrams, the contexts uv and the pairs vw of a bucket are all counted in one task and written as sorted arrays; only
+counts by word go on, merged the same way. Middle words that a sample finds too frequent for a bucket are spread over all
+of them by the first word, and their pairs, partly counted, are merged by pair in a step of their own (the sample decides
+where things are counted, never what). The number of buckets follows the input, so a task's share stays the same. Files go
+to the folder in spark.checkpoint.dir, which must be mounted (a file: URI) on all workers, under a temporary name first, so
+a repeated task replaces a file by an equal one; a file that is missing later raises.
+
+In a bucket, keys are 40 bits of a hash: about one in a million unseen trigrams is taken for a seen one. Of contexts, those
+that occur twice or more are written; one that has only its pair has occurred once.
 
 Null or empty texts are one end token. Repeated rows count and score as often as they occur. Without training rows every
 token scores as unknown.
@@ -21,94 +27,131 @@ token scores as unknown.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_path, slices, stage, texts
 
-#: Pairs a task counts before it sends them on.
+#: Trigrams a task counts before it sends them on.
 BUFFER = 1_200_000
 #: Bytes of text a bucket stands for.
 BUCKET_BYTES = 10_000_000
-#: Share of a sample's tokens from which a context is hot, and the sample's share of rows.
-HOT, HOT_SAMPLE = 0.002, 0.01
-REMEMBER = 400_000
-END, START = 1, 2
+#: Share of rows sampled for frequent words, and the most of these.
+HOT_SAMPLE, HOT_MOST = 0.01, 200_000
+END, START, BEFORE = 1, 2, 3
 _LOW = np.uint64((1 << 48) - 1)
-#: Bytes that a context, a word and a count take in memory and in a block.
-_PAIR = ((8, 6), (8, 6), (4, 4))
+_BASE = 0x9E3779B97F4A7C15
+_VALUE = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
+_VALUE[65:91] = _VALUE[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text hashed at a time.
+_CHUNK = 4_000_000
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+    x = (a * np.uint64(_BASE)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-class Words:
-    """Texts to word hashes; a word is hashed once while remembered."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of all texts, each text's closed by END, and how many each has."""
-        end, split = int(END).to_bytes(8, "big"), [t.encode("utf-8", "surrogatepass").lower().split() for t in batch]
-        known = self.known
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = set().union(*split)
-        known.update((w, xxhash.xxh64_digest(w)) for w in new)
-        blob = b"".join(b"".join([*map(known.__getitem__, words), end]) for words in split)
-        token = np.frombuffer(blob, ">u8").astype(np.uint64)
-        n = np.array([len(words) + 1 for words in split], np.int64)
-        ends = np.cumsum(n) - 1
-        token &= _LOW
-        token += np.uint64(16) * (token < 16)
-        token[ends] = END
-        return token, n
-
-    @staticmethod
-    def contexts(token: np.ndarray, n: np.ndarray) -> np.ndarray:
-        u = np.empty_like(token)
-        u[1:] = token[:-1]
-        u[np.cumsum(n) - n] = START
-        return u
-
-
-def _bucket(u: np.ndarray, v: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    at = _mix(u, np.zeros(1, np.uint64))
-    if len(hot):
-        spread = hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] == u
-        at = np.where(spread, _mix(v, u), at)
-    return (at % np.uint64(buckets)).astype(np.int64)
-
-
-def _squeeze(*columns: np.ndarray) -> bytes:
-    """Columns of unsigned numbers as bytes in planes, so that equal leading bytes lie together, compressed."""
-    n = len(columns[0])
-    planes = [c.astype(f"<u{w}").view(np.uint8).reshape(n, w).T[:k].tobytes() for c, (w, k) in zip(columns, _PAIR, strict=True)]
-    return n.to_bytes(8, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """The base's powers and their inverses, at least n of each."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(n, b % (1 << 64), np.uint64))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers
+
+
+def _words(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the bytes and where it begins; no word runs over a place in cut."""
+    word = np.append(~_BLANK[data], False)
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    first[cut] |= word[cut]
+    last = word[:-1] & (~word[1:] | first[1:])
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _power(len(data) + 1)
+    total = np.append(np.uint64(0), np.cumsum(_VALUE[data] * up[: len(data)]))
+    h = _mix((total[end] - total[start]) * down[start], (end - start).astype(np.uint64)) & _LOW
+    return h + np.uint64(16) * (h < 16), start
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of an array of strings without nulls, each string's closed by END, and how many each has."""
+    size = np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.string() else np.int64)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[size[0] : size[-1]]
+    size = size - size[0]
+    found, at, begin = [], [], 0
+    while begin < len(data):
+        end = begin + _CHUNK
+        while end < len(data) and not _BLANK[data[end]]:
+            gap = np.flatnonzero(_BLANK[data[end : end + 4096]])
+            end += int(gap[0]) if len(gap) else 4096
+        cut = size[np.searchsorted(size, begin) : np.searchsorted(size, end)] - begin
+        h, s = _words(data[begin:end], cut[cut < min(end, len(data)) - begin])
+        found.append(h)
+        at.append(s + begin)
+        begin = end
+    words, place = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((found, np.uint64), (at, np.int64)))
+    row = np.searchsorted(size, place, side="right") - 1
+    n = np.bincount(row, minlength=len(column)) + 1
+    out = np.full(len(words) + len(column), END, np.uint64)
+    out[np.arange(len(words)) + row] = words
+    return out, n
+
+
+def _before(x: np.ndarray, first: np.ndarray, start: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place the value two before and that one before, within rows that begin at first."""
+    v = np.empty_like(x)
+    v[1:], v[first] = x[:-1], start
+    u = np.empty_like(x)
+    u[1:], u[first] = v[:-1], before
+    return u, v
+
+
+def _bucket(v: np.ndarray, other: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of middle words v, spread by the other word where v is hot, and whether it is. hot is never empty."""
+    spread = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+    at = np.where(spread, _mix(v, other), _mix(v, np.zeros(1, np.uint64)))
+    return (at % np.uint64(buckets)).astype(np.int64), spread
+
+
+def _planes(column: np.ndarray, k: int) -> bytes:
+    """The k low bytes of numbers, in planes, so that equal leading bytes lie together."""
+    return np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes()
+
+
+def _unplanes(raw: np.ndarray, n: int, k: int) -> np.ndarray:
+    full = np.zeros((n, 8), np.uint8)
+    full[:, :k] = raw.reshape(k, n).T
+    return full.view("<u8").ravel()
+
+
+def _squeeze(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of unsigned numbers, each with the bytes it takes, compressed."""
+    head = np.array([x for c, k in columns for x in (len(c), k)], "<i8").tobytes()
+    return len(columns).to_bytes(8, "little") + head + pa.compress(b"".join(_planes(c, k) for c, k in columns), codec="zstd", asbytes=True)
 
 
 def _expand(blob: bytes) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=n * sum(k for _, k in _PAIR), codec="zstd", asbytes=True), np.uint8)
+    count = int.from_bytes(blob[:8], "little")
+    shape = np.frombuffer(blob[8 : 8 + 16 * count], "<i8").reshape(-1, 2).tolist()
+    raw = np.frombuffer(pa.decompress(blob[8 + 16 * count :], decompressed_size=sum(n * k for n, k in shape), codec="zstd", asbytes=True), np.uint8)
     out, at = [], 0
-    for w, k in _PAIR:
-        full = np.zeros((n, w), np.uint8)
-        full[:, :k] = raw[at : at + n * k].reshape(k, n).T
-        out.append(full.view(f"<u{w}").ravel())
+    for n, k in shape:
+        out.append(_unplanes(raw[at : at + n * k], n, k))
         at += n * k
     return out
 
@@ -122,14 +165,51 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _spans(key: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal keys begins and ends."""
+    cut = _runs(key).tolist()
+    return list(zip(cut, [*cut[1:], len(key)][: len(cut)], strict=True))
+
+
+def _sums(at: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    return [np.add.reduceat(c, at) if len(at) else c[:0] for c in columns]
+
+
+def _table(key: np.ndarray, *columns: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows by 40 bits of key, sorted: 32 bits and 8, and each row's place among the distinct rows of the columns."""
+    order = np.argsort(key)
+    key = key[order] >> np.uint64(24)
+    if len(columns) == 1:
+        rows, place = np.unique(columns[0], return_inverse=True)
+        rows = rows[:, None]
+    else:
+        rows, place = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)
+    kind = np.uint8 if len(rows) < 1 << 8 else np.uint16 if len(rows) < 1 << 16 else np.uint32
+    return {"high": (key >> np.uint64(8)).astype(np.uint32), "low": key.astype(np.uint8), "row": place.ravel()[order].astype(kind), "rows": rows.astype(np.int64)}
 
 
-def _write(path: str, **arrays: np.ndarray) -> None:
-    for name, array in arrays.items():
-        temporary = f"{path}.{name}.{os.getpid()}-{os.urandom(4).hex()}"
-        with open(temporary, "wb") as f:
-            np.save(f, array)
-        os.replace(temporary, f"{path}.{name}.npy")
+def _write(path: str, tables: dict[str, dict[str, np.ndarray]]) -> None:
+    """One file: its head's length, the head (where each array lies), the arrays."""
+    head, parts, at = {}, [], 0
+    for name, table in tables.items():
+        for k, array in table.items():
+            head[f"{name}.{k}"] = (at, array.dtype.str, array.shape)
+            parts.append(np.ascontiguousarray(array).tobytes() + bytes(-array.nbytes % 8))
+            at += len(parts[-1])
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
+    temporary = f"{path}.{os.getpid()}-{os.urandom(4).hex()}"
+    with open(temporary, "wb") as f:
+        f.write(len(text).to_bytes(8, "little") + text)
+        f.writelines(parts)
+    os.replace(temporary, path)
+
+
+def _mapped(path: str) -> dict[str, np.ndarray]:
+    raw = np.memmap(path, np.uint8, "r")
+    base = 8 + int.from_bytes(raw[:8].tobytes(), "little")
+    head = json.loads(raw[8:base].tobytes())
+    return {k: np.ndarray(shape, kind, raw, base + at) for k, (at, kind, shape) in head.items()}
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -143,105 +223,176 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
+    """path: the folder of the files; written: by kind of file, the buckets that have one; discounts: of trigrams, pairs, words."""
+
     path: str
     buckets: int
     hot: np.ndarray
     tokens: int
     distinct: int
     continuations: int
-    discounts: tuple[float, float, float]
-    lower: tuple[float, float, float]
+    discounts: tuple[tuple[float, float, float], ...]
     freed: float
+    written: dict[str, np.ndarray] = field(default_factory=dict)
 
     def scorer(self) -> _Scorer:
         return _Scorer(self)
 
 
 class _Scorer:
-    """Looks pairs and words up in the mapped arrays."""
+    """Looks trigrams, contexts, pairs and words up in the mapped arrays."""
 
     def __init__(self, model: Model):
         self.m, self.open = model, {}
-        self.d = np.array([0.0, *model.discounts])
-        self.e = np.array([0.0, *model.lower])
+        self.d, self.e, self.g = (np.array([0.0, *x]) for x in model.discounts)
 
-    def _map(self, name: str, bucket: int) -> np.ndarray:
-        key = (name, bucket)
+    def _map(self, kind: str, bucket: int) -> dict[str, np.ndarray] | None:
+        key = (kind, bucket)
         if key not in self.open:
             if len(self.open) > 4000:
                 self.open.clear()
-            path = f"{self.m.path}/{bucket}.{name}.npy"
-            self.open[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
+            have = self.m.written[kind]
+            i = int(np.searchsorted(have, bucket))
+            self.open[key] = _mapped(f"{self.m.path}/{bucket}.{kind}") if i < len(have) and have[i] == bucket else None
         return self.open[key]
 
-    def _find(self, kind: str, bucket: np.ndarray, key: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
-        """The columns at each key, zero where it is absent. Keys are looked up in order, so reads are near each other."""
-        out = [np.zeros(len(key), np.int64) for _ in columns]
-        order = np.lexsort((key, bucket))
-        cuts = np.searchsorted(bucket[order], np.unique(bucket), side="left").tolist() + [len(key)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            at = order[s:e]
-            b = int(bucket[at[0]])
-            have = self._map(f"{kind}_key", b)
-            if not len(have):
+    def find(self, kind: str, table: str, bucket: np.ndarray, key: np.ndarray, columns: int) -> np.ndarray:
+        """The row at each key, a column each; zeros where it is absent. Keys are looked up in order, so reads are near each other."""
+        out = np.zeros((columns, len(key)), np.int64)
+        key = key >> np.uint64(24)
+        order = np.argsort(bucket.astype(np.uint64) << np.uint64(40) | key) if self.m.buckets < 1 << 24 else np.lexsort((key, bucket))
+        bucket, key = bucket[order], key[order]
+        high, low = (key >> np.uint64(8)).astype(np.uint32), key.astype(np.uint8)
+        for s, e in _spans(bucket):
+            have = self._map(kind, int(bucket[s]))
+            if have is None or not len(have[f"{table}.high"]):
                 continue
-            place = np.minimum(np.searchsorted(have, key[at]), len(have) - 1)
-            hit = have[place] == key[at]
-            for c, o in zip(columns, out, strict=True):
-                o[at[hit]] = self._map(f"{kind}_{c}", b)[place[hit]]
+            highs, lows = have[f"{table}.high"], have[f"{table}.low"]
+            place = np.minimum(np.searchsorted(highs, high[s:e]), len(highs) - 1)
+            left = np.flatnonzero(highs[place] == high[s:e])
+            while len(left):  # keys of equal high bits lie in a row
+                at = place[left]
+                hit = lows[at] == low[s:e][left]
+                if hit.any():
+                    out[:, order[s:e][left[hit]]] = have[f"{table}.rows"][have[f"{table}.row"][at[hit]]].T
+                left = left[~hit]
+                place[left] += 1
+                left = left[place[left] < len(highs)]
+                left = left[highs[place[left]] == high[s:e][left]]
         return out
 
-    def pairs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        key, first, back = np.unique(_mix(u, v), return_index=True, return_inverse=True)
-        (c,) = self._find("pair", _bucket(u[first], v[first], self.m.hot, self.m.buckets), key, ("count",))
-        if len(big := np.flatnonzero(c == 65535)):
-            (full,) = self._find("big", _bucket(u[first[big]], v[first[big]], self.m.hot, self.m.buckets), key[big], ("count",))
-            c[big] = full
-        return c[back]
-
     def __call__(self, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each token's log10 probability, base log10 probability, and training count."""
-        m, u = self.m, Words.contexts(token, n)
-        word, back = np.unique(np.concatenate([token, np.array([START], np.uint64)]), return_inverse=True)
-        bucket = (_mix(word, np.ones(1, np.uint64)) % np.uint64(m.buckets)).astype(np.int64)
-        count, contexts, followed, one, two, more = (x[back] for x in self._find("word", bucket, word, ("count", "contexts", "followed", "one", "two", "more")))
-        row = back[: len(token)]
-        place = np.empty_like(row)
-        place[1:] = np.arange(len(token) - 1)
-        place[np.cumsum(n) - n] = len(token)  # the start's own entry
-        c, a = count[:-1], contexts[:-1]
+        m, first = self.m, np.cumsum(n) - n
+        word, back = np.unique(np.append(token, np.uint64(START)), return_inverse=True)
+        stats = self.find("words", "word", (_mix(word, np.ones(1, np.uint64)) % np.uint64(m.buckets)).astype(np.int64), _mix(word, word), 6)
+        _, v_row = _before(back[:-1], first, back[-1], back[-1])
+        u, v = _before(token, first, START, BEFORE)
+        count, contexts = stats[0][back[:-1]], stats[1][back[:-1]]
         unknown = m.freed / (m.distinct + 1)
-        p1 = (np.maximum(a - self.e[np.minimum(a, 3)], 0) / m.continuations if m.continuations else 0.0) + unknown
-        total = followed[place]
-        free = self.d[1] * one[place] + self.d[2] * two[place] + self.d[3] * more[place]
-        cuv = self.pairs(u, token)
+        p = (np.maximum(contexts - self.g[np.minimum(contexts, 3)], 0) / m.continuations if m.continuations else 0.0) + unknown
+
+        bucket, spread = _bucket(v, token, m.hot, m.buckets)
+        pair, key = np.zeros(len(token), np.int64), _mix(v, token)
+        for kind, rows in (("hot", np.flatnonzero(spread)), ("main", np.flatnonzero(~spread))):
+            pair[rows] = self.find(kind, "pair", bucket[rows], key[rows], 1)[0]
+        total, one, two, more = (stats[k][v_row] for k in (2, 3, 4, 5))
+        free = self.e[1] * one + self.e[2] * two + self.e[3] * more
         seen = np.maximum(total, 1)
-        p = np.where(total > 0, np.maximum(cuv - self.d[np.minimum(cuv, 3)], 0) / seen + free / seen * p1, p1)
-        base = np.log10((c + 1) / (m.tokens + m.distinct + 1))
-        return np.log10(p), base, c
-
-
-def hot_contexts(train: DataFrame) -> np.ndarray:
-    """Sorted hashes of the contexts that make up at least HOT of a sample's tokens (so at most 1 / HOT)."""
+        p = np.where(total > 0, np.maximum(pair - self.e[np.minimum(pair, 3)], 0) / seen + free / seen * p, p)
+
+        inner = np.ones(len(token), bool)
+        inner[first] = False
+        at = np.flatnonzero(inner)
+        known = pair[at - 1] > 0  # the pair before is this token's context
+        at = at[known]
+        bucket, _ = _bucket(v[at], u[at], m.hot, m.buckets)
+        context = _mix(u[at], v[at])
+        total, one, two, more = self.find("main", "context", bucket, context, 4)
+        one += total == 0
+        total = np.maximum(total, 1)
+        (c,) = self.find("main", "trigram", bucket, _mix(context, token[at]), 1)
+        free = self.d[1] * one + self.d[2] * two + self.d[3] * more
+        p[at] = np.maximum(c - self.d[np.minimum(c, 3)], 0) / total + free / total * p[at]
+        return np.log10(p), np.log10((count + 1) / (m.tokens + m.distinct + 1)), count
+
+
+def hot_words(train: DataFrame, buckets: int) -> np.ndarray:
+    """The start, and hashes of the words that in a sample make up a bucket's share of the tokens or more; sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in slices(batches, "text"):
-            token, n = words(b.column("text").to_pylist())
-            u, c = np.unique(Words.contexts(token, n), return_counts=True)
+            u, c = np.unique(tokens(b.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(c)], ["u", "c"])
 
-    seen = train.select("text").sample(HOT_SAMPLE, 11).mapInArrow(run, "u long, c long").groupBy("u").agg(F.sum("c").alias("c"))
-    top = seen.orderBy(F.col("c").desc(), "u").limit(int(1 / HOT)).collect()
-    total = sum(r["c"] for r in top)
-    return np.array(sorted(r["u"] for r in top if r["c"] >= HOT * total), np.uint64)
+    seen = stage(train.select("text").sample(HOT_SAMPLE, 11).mapInArrow(run, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")), "frequent-words")
+    least = max(1 / buckets, 1 / HOT_MOST) * (seen.agg(F.sum("c")).first()[0] or 0)
+    top = seen.where(F.col("c") >= least).orderBy(F.col("c").desc(), "u").limit(HOT_MOST).select("u").toArrow()
+    return np.unique(np.append(top.column("u").to_numpy(), START)).astype(np.uint64)
+
+
+def _blocks(bucket: np.ndarray, kind: int, columns: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    """A row (kind, bucket, blob) for each run of equal buckets."""
+    spans = _spans(bucket)
+    cut = [s for s, _ in spans]
+    blobs = [_squeeze(*((c[s:e], k) for c, k in columns)) for s, e in spans]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind, np.int32)), pa.array(bucket[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Blobs of each bucket, of rows sorted by it."""
+    at, blobs = None, []
+    for b in batches:
+        for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            if bucket != at and blobs:
+                yield at, blobs
+                blobs = []
+            at = bucket
+            blobs.append(blob)
+    if blobs:
+        yield at, blobs
+
+
+_SUMS = ["n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "l1", "l2", "l3", "l4", "tokens", "distinct", "continuations"]
+
+
+def _summary(bucket: int, **values: list[int]) -> pa.RecordBatch:
+    """A row of kind 2: sums for the driver, and the bucket as one that has a file."""
+    given = {f"{k}{i}": x for k, v in values.items() if len(v) == 4 for i, x in enumerate(v, 1)} | {k: v[0] for k, v in values.items() if len(v) == 1}
+    blob = np.array([given.get(k, 0) for k in _SUMS], "<i8").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["kind", "bucket", "blob"])
+
+
+def _few(counts: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
+
+
+def _of_pairs(v: np.ndarray, w: np.ndarray, a: np.ndarray, counted: np.ndarray, count: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of complete pairs vw with a(vw), and of words with their counts: the words' statistics, to their buckets."""
+    order = np.argsort(v)
+    sv = _runs(v[order])
+    by_v = [v[order][sv], *_sums(sv, a[order], *((x[order]).astype(np.int64) for x in (a == 1, a == 2, a > 2)))]
+    words = np.concatenate([counted, w, by_v[0]])
+    part = [len(counted), len(w), len(sv)]
+    columns = [np.zeros(sum(part), np.int64) for _ in range(6)]  # count, contexts, followed, one, two, more
+    columns[0][: part[0]] = count
+    columns[1][part[0] : part[0] + part[1]] = 1
+    for c, x in zip(columns[2:], by_v[1:], strict=True):
+        c[part[0] + part[1] :] = x
+    order = np.argsort(words)
+    at = _runs(words[order])
+    words, columns = words[order][at], _sums(at, *(c[order] for c in columns))
+    bucket = (_mix(words, np.ones(1, np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    yield from _blocks(bucket[order], 1, [(words[order], 6), *((c[order], 8) for c in columns)])
 
 
 def fit(train: DataFrame) -> Model:
     """The model of the texts of train (text)."""
     train = texts(train)
     size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets, hot = max(1, -(-size // BUCKET_BYTES)), hot_contexts(train)
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    hot = hot_words(train, buckets)
     path = shared_path(train.sparkSession, "kneser-ney")
     if not path.startswith(("file:", "/")):
         raise ValueError(f"the model's arrays are memory-mapped: spark.checkpoint.dir must be a mounted folder, not {path}")
@@ -249,133 +400,131 @@ def fit(train: DataFrame) -> Model:
     os.makedirs(path, exist_ok=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(), [], 0
-
-        def send() -> pa.RecordBatch:
-            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = _bucket(u, v, hot, buckets)
-            # one sort key: bucket, some of the context, some of the pair; equal pairs are neighbours but for rare collisions, which the merge mends
-            key = (bucket.astype(np.uint64) << np.uint64(48)) | (u >> np.uint64(24) << np.uint64(24)) | (_mix(u, v) >> np.uint64(40))
-            order = np.argsort(key, kind="stable")
-            u, v, bucket = u[order], v[order], bucket[order]
-            at = _runs(u, v)
+        held, size = [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            token, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, ids = np.unique(np.append(token, np.array([START, BEFORE], np.uint64)), return_inverse=True)
+            w = ids[:-2].astype(np.int64)
+            u, v = _before(w, np.cumsum(n) - n, int(ids[-2]), int(ids[-1]))
+            starts = v == ids[-2]
+            bucket, _ = _bucket(word[v], word[np.where(starts, w, u)], hot, buckets)
+            order = np.lexsort((w, (bucket * len(word) + v) * len(word) + u)) if buckets * len(word) ** 2 < 1 << 62 else np.lexsort((w, u, v, bucket))
+            u, v, w, bucket = u[order], v[order], w[order], bucket[order]
+            at = _runs(bucket, v, u, w)
             c = np.diff(at, append=len(u))
-            u, v, bucket = u[at], v[at], bucket[at]
-            cut = _runs(bucket)
-            blobs = [_squeeze(u[s:e], v[s:e], c[s:e]) for s, e in zip(cut, [*cut[1:], len(u)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            u, v, w, bucket = u[at], v[at], w[at], bucket[at]
+            spans, blobs = _spans(bucket), []
+            for s, e in spans:
+                here = np.zeros(len(word), bool)
+                for x in (u, v, w):
+                    here[x[s:e]] = True
+                new, used = np.cumsum(here) - 1, np.flatnonzero(here)
+                own = [new[x[s:e]] for x in (u, v, w)]
+                blobs.append(_squeeze((np.diff(word[used], prepend=np.uint64(0)), 6), (own[0], 4), (np.diff(own[1], prepend=0), 4), (own[2], 4), (c[s:e], 4)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[[s for s, _ in spans]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for b in slices(batches, "text"):
-            token, n = words(b.column("text").to_pylist())
-            held.append((Words.contexts(token, n), token))
-            size += len(token)
+            held.append(tokens(b.column("text")))
+            size += len(held[-1][0])
             if size >= BUFFER:
-                yield send()
+                yield from send()
                 held, size = [], 0
         if held:
-            yield send()
-
-    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-        at, blobs = None, []
-        for b in batches:
-            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if bucket != at and blobs:
-                    yield at, blobs
-                    blobs = []
-                at = bucket
-                blobs.append(blob)
-        if blobs:
-            yield at, blobs
+            yield from send()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blobs in by_bucket(batches):
-            u, v, c = (np.concatenate(x) for x in zip(*(_expand(b) for b in blobs), strict=True))
-            order = np.lexsort((v, u))
-            u, v, c = u[order], v[order], c[order].astype(np.int64)
-            at = _runs(u, v)
-            c = np.add.reduceat(c, at)
-            u, v = u[at], v[at]
-            key = _mix(u, v)
+        for bucket, blobs in _by_bucket(batches):
+            u, v, w, c = (np.concatenate(x) for x in zip(*map(_trigrams, blobs), strict=True))
+            key = _mix(_mix(u, v), w)
             order = np.argsort(key)
-            big = np.flatnonzero(c[order] >= 65535)
-            _write(f"{path}/{bucket}", pair_key=key[order], pair_count=np.minimum(c[order], 65535).astype(np.uint16), big_key=key[order][big], big_count=c[order][big])
-            # by word: count, contexts (as the second), followed, one, two, more (as the first)
-            second = np.argsort(v, kind="stable")
-            sv = _runs(v[second])
-            su = _runs(u)
-            zero = np.zeros(len(sv), np.int64)
-            left = [v[second][sv], np.add.reduceat(c[second], sv), np.diff(sv, append=len(v)), zero, zero, zero, zero]
-            none = np.zeros(len(su), np.int64)
-            right = [u[su], none, none, np.add.reduceat(c, su), *(np.add.reduceat((x).astype(np.int64), su) for x in (c == 1, c == 2, c > 2))]
-            yield from _by_word([np.concatenate([a, b]) for a, b in zip(left, right, strict=True)])
-            few = np.bincount(np.minimum(c, 5), minlength=6)[1:5]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([few.astype("<i8").tobytes()], pa.binary())], ["bucket", "blob"])
-
-    def _by_word(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bucket = (_mix(columns[0], np.ones(1, np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((columns[0], bucket))
-        bucket, columns = bucket[order], [x[order] for x in columns]
-        at = _runs(bucket, columns[0])
-        columns = [columns[0][at], *(np.add.reduceat(x, at) for x in columns[1:])]
-        bucket = bucket[at]
-        cut = _runs(bucket)
-        blobs = [np.array([e - s], "<i8").tobytes() + _pack([x[s:e] for x in columns]) for s, e in zip(cut, [*cut[1:], len(bucket)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            at = _runs(key[order])
+            (c,) = _sums(at, c[order].astype(np.int64))
+            order = order[at]
+            u, v, w, key = u[order], v[order], w[order], key[order]
+            order = np.argsort(w)
+            at = _runs(w[order])
+            counted, (count_,) = w[order][at], _sums(at, c[order])
+            starts = v == START
+            rest = np.flatnonzero(~starts)
+            context = _mix(u[rest], v[rest])
+            order = np.argsort(context)
+            at = _runs(context[order])
+            often = _sums(at, *(x[rest][order].astype(np.int64) for x in (c, c == 1, c == 2, c > 2)))
+            twice = np.flatnonzero(often[0] > 1)
+            tables = {"trigram": _table(key[rest], c[rest]), "context": _table(context[order][at][twice], *(x[twice] for x in often))}
+            pair = _mix(v, w)
+            order = np.argsort(pair)
+            at = _runs(pair[order])
+            (a,) = _sums(at, np.where(starts, c, 1)[order])
+            v, w, pair = v[order][at], w[order][at], pair[order][at]
+            spread = _bucket(v, w, hot, buckets)[1]
+            whole = np.flatnonzero(~spread)
+            tables["pair"] = _table(pair[whole], a[whole])
+            _write(f"{path}/{bucket}.main", tables)
+            yield _summary(bucket, n=_few(c[rest]), m=_few(a[whole]))
+            yield from _of_pairs(v[whole], w[whole], a[whole], counted, count_, buckets)
+            part = np.flatnonzero(spread)
+            to, _ = _bucket(v[part], w[part], hot, buckets)
+            order = np.lexsort((w[part], v[part], to))
+            part = part[order]
+            yield from _blocks(to[order], 0, [(v[part], 6), (w[part], 6), (a[part], 8)])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in _by_bucket(batches):
+            v, w, a = (np.concatenate(x) for x in zip(*map(_expand, blobs), strict=True))
+            pair = _mix(v, w)
+            order = np.argsort(pair)
+            at = _runs(pair[order])
+            (a,) = _sums(at, a[order].astype(np.int64))
+            v, w, pair = v[order][at], w[order][at], pair[order][at]
+            _write(f"{path}/{bucket}.hot", {"pair": _table(pair, a)})
+            yield _summary(bucket, m=_few(a))
+            yield from _of_pairs(v, w, a, w[:0], a[:0], buckets)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, blobs in by_bucket(batches):
-            if bucket == -1:
-                few = sum(np.frombuffer(b, "<i8") for b in blobs)
-                yield _summary([*few.tolist(), 0, 0, 0, 0, 0, 0, 0])
-                continue
-            columns = [np.concatenate(x) for x in zip(*(_unpack(b[8:], int.from_bytes(b[:8], "little")) for b in blobs), strict=True)]
-            order = np.argsort(columns[0], kind="stable")
-            columns = [x[order] for x in columns]
-            at = _runs(columns[0])
-            key, (count_, contexts, followed, one, two, more) = columns[0][at], [np.add.reduceat(x, at) for x in columns[1:]]
-            _write(f"{path}/{bucket}", word_key=key, word_count=count_, word_contexts=contexts, word_followed=followed, word_one=one, word_two=two, word_more=more)
-            some = np.bincount(np.minimum(contexts, 5), minlength=6)[1:5]
-            yield _summary([0, 0, 0, 0, int(count_.sum()), int((count_ > 0).sum()), int(contexts.sum()), *some.tolist()])
-
-    names = ["n1", "n2", "n3", "n4", "tokens", "distinct", "continuations", "m1", "m2", "m3", "m4"]
-
-    def _summary(values: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in values], names)
-
-    blocks = train.mapInArrow(count, "bucket int, blob binary").repartition(3 * buckets, "bucket").sortWithinPartitions("bucket")
-    by_word = blocks.mapInArrow(merge, "bucket int, blob binary").repartition(3 * buckets, "bucket").sortWithinPartitions("bucket")
-    rows = by_word.mapInArrow(words, ", ".join(f"{x} long" for x in names))
-    got = stage(rows, "kneser-ney-sums").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names)).first()
-    d, e = _discounts([got[f"n{i}"] for i in range(1, 5)]), _discounts([got[f"m{i}"] for i in range(1, 5)])
-    m, a = [got[f"m{i}"] for i in range(1, 5)], got["continuations"]
-    above = got["distinct"] - m[0] - m[1]
-    freed = (e[0] * m[0] + e[1] * m[1] + e[2] * above) / a if a else 1.0
-    return Model(path, buckets, hot, got["tokens"], got["distinct"], a, d, e, freed)
-
-
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """A column of sorted 48-bit words and columns of mostly small counts: planes of bytes, compressed."""
-    n = len(columns[0])
-    planes = [np.diff(columns[0], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(n, 8).T[:6].tobytes()]
-    planes += [c.astype("<u8").view(np.uint8).reshape(n, 8).T.tobytes() for c in columns[1:]]
-    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(blob, decompressed_size=n * 54, codec="zstd", asbytes=True), np.uint8)
-    word = np.zeros((n, 8), np.uint8)
-    word[:, :6] = raw[: 6 * n].reshape(6, n).T
-    rest = [np.ascontiguousarray(raw[(6 + 8 * k) * n : (14 + 8 * k) * n].reshape(8, n).T).view("<i8").ravel() for k in range(6)]
-    return [np.cumsum(word.view("<u8").ravel(), dtype=np.uint64), *rest]
+        for bucket, blobs in _by_bucket(batches):
+            word, *columns = (np.concatenate(x) for x in zip(*map(_expand, blobs), strict=True))
+            order = np.argsort(word)
+            at = _runs(word[order])
+            word, columns = word[order][at], _sums(at, *(x[order].astype(np.int64) for x in columns))
+            _write(f"{path}/{bucket}.words", {"word": _table(_mix(word, word), *columns)})
+            yield _summary(bucket, l=_few(columns[1]), tokens=[int(columns[0].sum())], distinct=[int((columns[0] > 0).sum())], continuations=[int(columns[1].sum())])
+
+    out = "kind int, bucket int, blob binary"
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.select("bucket", "blob").repartition(3 * buckets, "bucket").sortWithinPartitions("bucket")
+
+    merged = stage(spread(train.mapInArrow(count, "bucket int, blob binary")).mapInArrow(merge, out), "kneser-ney-merged")
+    spread_pairs = stage(spread(merged.where("kind = 0")).mapInArrow(pairs, out), "kneser-ney-pairs")
+    by_word = merged.where("kind = 1").union(spread_pairs.where("kind = 1"))
+    sums = stage(spread(by_word).mapInArrow(words, out), "kneser-ney-sums")
+    written, got = {}, np.zeros(len(_SUMS), np.int64)
+    for kind, df in (("main", merged), ("hot", spread_pairs), ("words", sums)):
+        rows = df.where("kind = 2").select("bucket", "blob").toArrow()  # one a bucket
+        written[kind] = np.sort(rows.column("bucket").to_numpy())
+        got += sum((np.frombuffer(b, "<i8") for b in rows.column("blob").to_pylist()), np.zeros(len(_SUMS), np.int64))
+    sum_of = dict(zip(_SUMS, got.tolist(), strict=True))
+    d, e, g = (_discounts([sum_of[f"{k}{i}"] for i in range(1, 5)]) for k in "nml")
+    a, ones = sum_of["continuations"], [sum_of[f"l{i}"] for i in range(1, 5)]
+    freed = (g[0] * ones[0] + g[1] * ones[1] + g[2] * (sum_of["distinct"] - ones[0] - ones[1])) / a if a else 1.0
+    return Model(path, buckets, hot, sum_of["tokens"], sum_of["distinct"], a, (d, e, g), freed, written)
+
+
+def _trigrams(blob: bytes) -> tuple[np.ndarray, ...]:
+    word, u, v, w, c = _expand(blob)
+    word = np.cumsum(word, dtype=np.uint64)
+    return word[u], word[np.cumsum(v)], word[w], c
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10 probabilities) of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, scorer = Words(), model.scorer()
-        for b in slices(batches, "text"):
-            token, n = words(b.column("text").to_pylist())
+        scorer = model.scorer()
+        for b in slices(batches, "text", 8_000_000):
+            token, n = tokens(b.column("text"))
             p, base, c = scorer(token, n)
             first = np.cumsum(n) - n
             cols = [pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(p, first))]
