@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,10 +29,11 @@ from pyspark.sql import types as T
 from .common import ranked, slices, stage, texts
 
 LIMIT = 2048
-#: Distinct space-delimited words whose ids a worker remembers.
-REMEMBER = 300_000
 #: How byte-level BPE parts a text before merging.
-_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: White space in a row that the pattern still takes (its matcher's stack overflows near a million).
+BLANKS = 50_000
+_BLANKS = re.compile(rf"\s{{{BLANKS}}}")
 
 
 class Tightest:
@@ -112,60 +114,31 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
 
 
 class _Ids:
-    """Texts to little-endian ids, those of `tokenizers` for the file at path, its special tokens' strings taken as text.
+    """Texts to little-endian ids, those of `tokenizers` for the file at path without added special tokens.
 
-    Where words part at single blanks, a word with its blank is tokenized once and remembered; of two generations of
-    REMEMBER words the older is forgotten. A byte-level BPE's words go through tiktoken's merges of the same vocabulary,
-    which give the same ids; long words, and other models, through `tokenizers`.
+    The texts of a byte-level BPE go through tiktoken's merges of the same vocabulary, which give the same ids; texts that
+    hold an added token's string, or a run of white space too long for tiktoken's pattern, and other models, through `tokenizers`.
     """
 
-    LONG = 400
-
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            ranks = _ranks(json.load(f))
+            spec = json.load(f)
+        ranks = _ranks(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens", ())]
         self.merges = ranks and tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _slow(self, batch: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-
-    def _encode(self, batch: list[str]) -> list[bytes]:
-        if not self.merges:
-            return self._slow(batch)
-        out = [array("I", self.merges(w)).tobytes() if len(w) < self.LONG else b"" for w in batch]
-        long = [i for i, w in enumerate(batch) if len(w) >= self.LONG]
-        for i, ids in zip(long, self._slow([batch[i] for i in long]), strict=True):
-            out[i] = ids
-        return out
+    def _slow(self, text: str) -> bool:
+        return any(t in text for t in self.added) or len(text) > BLANKS and _BLANKS.search(text) is not None
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        split, whole = [], []
-        for i, text in enumerate(batch):
-            words = text.split(" ")
-            ends = {w[:1] for w in words} | {w[-1:] for w in words}
-            if "" in ends or any(map(str.isspace, ends)):
-                whole.append(i)
-                split.append([])
-            else:
-                split.append([words[0], *map(" ".__add__, words[1:])])
-        if len(self.known) > REMEMBER:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        missing = set().union(*split).difference(known)
-        known.update((w, older[w]) for w in missing.intersection(older))
-        missing = [w for w in missing if w not in known]
-        known.update(zip(missing, self._encode(missing), strict=True))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for i, ids in zip(whole, self._slow([batch[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        slow = range(len(batch)) if not self.merges else [i for i, text in enumerate(batch) if self._slow(text)]
+        made = self.tokenizer.encode_batch_fast([batch[i] for i in slow], add_special_tokens=False)
+        out = {i: np.array(e.ids, "<u4").tobytes() for i, e in zip(slow, made, strict=True)}
+        return [out[i] if i in out else array("I", self.merges(text)).tobytes() for i, text in enumerate(batch)]
 
 
 @functools.cache

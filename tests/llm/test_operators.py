@@ -2,10 +2,12 @@
 
 import collections
 import math
+import os
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -140,7 +142,7 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    docs = docs.union(docs.limit(1).select(F.lit(9010).cast("long"), F.lit("a <|endoftext|> b"), "score", "fp", "node"))
     want = collections.Counter()
     for i, text in rows(docs):
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
@@ -169,18 +171,19 @@ def test_packing(spark, docs):
     assert packing.pack(packing.pieces(docs.where("false"), queries.tokenizer_path())).count() == 0
 
 
-def test_tokenizer_memory_changes_nothing(monkeypatch):
+def test_ids_are_those_of_tokenizers():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "REMEMBER", 20)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ["", " ", "  a  b", "a \nb", "a\n b c", "　x y", "x  y", "a b ", "it's  I'm 'll x", "<|endoftext|> a<|endoftext|>", "a\x1c b \x85c", "12 34  56", "é ñ 漢字 かな", "x" * 5000, "the cat sat on the mat " * 20]
-    ids = packing._Ids(path)
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    t, ids = Tokenizer.from_file(path), packing._Ids(path)
+    texts = ["", " ", "  a  b", "a \nb", "a\n b c", "　x y", "x  y", "a b ", "it's  I'm 'll x", "a <|endoftext|> b", "<|endoftext|> a<|endoftext|>", "<|endoftext|", "a\x1c b \x85c", "12 34  56", "é ñ 漢字 かな"]
+    texts += ["x" * 50_000, "the cat sat on the mat " * 20, " " * 1_200_000 + "a", "　" * 60_000 + "b", "\n" * 49_999 + "c", "<|endoftext|>" + " " * 60_000]
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"a{chr(c)}b {chr(c)} {chr(c)}1 " for c in every[i : i + 500]) for i in range(0, len(every), 500)]
+    for x, got in zip(texts, ids(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x[:60]
+    assert np.frombuffer(ids(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
 def test_sharding(spark, docs):
@@ -302,44 +305,67 @@ def test_guess_cost_is_the_least():
         assert secrets.guess_cost(walk) < 5 < secrets.guess_cost("k3vq9xw7")
 
 
+def test_tokens_of_columns(monkeypatch):
+    monkeypatch.setattr(kneser_ney, "_CHUNK", 40)
+    batch = ["", " \t", "The  cat\x0bsat", "x" * 300, "é漢 É", "ends ", " the", "the", "a\x1cb\x85", "THE cat " * 50]
+    whole = pa.array(["skipped", *batch, "skipped too"])
+    for column in (pa.array(batch), whole.slice(1, len(batch)), whole.slice(1, len(batch)).cast(pa.large_string())):
+        token, n = kneser_ney.tokens(column)
+        at, seen = 0, {}
+        for text, k in zip(batch, n.tolist(), strict=True):
+            w = words(text)
+            assert k == len(w) + 1 and token[at + k - 1] == kneser_ney.END
+            for x, h in zip(w, token[at : at + k - 1].tolist(), strict=True):
+                assert seen.setdefault(x, h) == h
+            at += k
+        assert at == len(token) and len(set(seen.values())) == len(seen)
+
+
 def test_kneser_ney(spark, docs, monkeypatch):
     monkeypatch.setattr(kneser_ney, "BUFFER", 5000)
-    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 100_000)
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 20_000)
     monkeypatch.setattr(kneser_ney, "HOT_SAMPLE", 0.5)
+    monkeypatch.setattr(kneser_ney, "HOT_MOST", 100)
     train = docs.where(common.remainder(7) != 2)
     model = kneser_ney.fit(train)
-    assert len(model.hot) > 3 and model.buckets > 2
-    pair, ends = collections.Counter(), b"\0end"
+    assert len(model.hot) > 2 and model.buckets > 20
+    start, ends = b"\0start", b"\0end"
+    tri, first = collections.Counter(), collections.Counter()
     for _, t in rows(train):
         w = [*words(t), ends]
-        pair.update(zip([b"\0start", *w], w))
-    count, contexts, follow = collections.Counter(), collections.Counter(), collections.defaultdict(list)
-    for (u, v), c in pair.items():
-        count[v] += c
-        contexts[v] += 1
-        follow[u].append(c)
+        first[w[0]] += 1
+        tri.update(zip([start, *w], w, w[1:]))
+    pair = collections.Counter((v, w) for _, v, w in tri)
+    pair.update({(start, w): c for w, c in first.items()})
+    count, contexts, by_v, by_uv = collections.Counter(first), collections.Counter(), collections.defaultdict(list), collections.defaultdict(list)
+    for (u, v, w), c in tri.items():
+        count[w] += c
+        by_uv[u, v].append(c)
+    for (v, w), a in pair.items():
+        contexts[w] += 1
+        by_v[v].append(a)
 
     def discounts(values):
         n = [0, *(sum(v == k for v in values) for k in (1, 2, 3, 4))]
         y = n[1] / (n[1] + 2 * n[2])
         return [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
 
-    d, e = discounts(list(pair.values())), discounts(list(contexts.values()))
+    d, e, g = (discounts(list(x.values())) for x in (tri, pair, contexts))
     a, n, v = len(pair), sum(count.values()), len(count)
     assert (model.tokens, model.distinct, model.continuations) == (n, v, a)
-    assert model.discounts == pytest.approx(d[1:]) and model.lower == pytest.approx(e[1:])
-    free = sum(e[min(x, 3)] for x in contexts.values()) / a
-    low = lambda w: max(contexts[w] - e[min(contexts[w], 3)], 0) / a + free / (v + 1)
-
-    def p(u, w):
-        f = follow.get(u)
-        if not f:
-            return low(w)
-        c = pair[u, w]
-        return max(c - d[min(c, 3)], 0) / sum(f) + sum(d[min(x, 3)] for x in f) / sum(f) * low(w)
-
-    for u in (b"\0start", b"the", b"de", b"unseen"):
-        assert sum(p(u, w) for w in count) + p(u, b"\0unknown") == pytest.approx(1)
+    assert [list(x) for x in model.discounts] == [pytest.approx(x[1:]) for x in (d, e, g)]
+    free = sum(g[min(x, 3)] for x in contexts.values()) / a
+
+    def mixed(c, d, seen, low):
+        return max(c - d[min(c, 3)], 0) / sum(seen) + sum(d[min(x, 3)] for x in seen) / sum(seen) * low if seen else low
+
+    def p(u, v_, w):
+        low = max(contexts[w] - g[min(contexts[w], 3)], 0) / a + free / (v + 1)
+        low = mixed(pair[v_, w], e, by_v.get(v_), low)
+        return mixed(tri[u, v_, w], d, by_uv.get((u, v_)), low) if u else low
+
+    for u, v_ in ((None, start), (start, b"the"), (b"of", b"the"), (b"unseen", b"de"), (b"unseen", b"unseen")):
+        assert sum(p(u, v_, w) for w in count) + p(u, v_, b"\0unknown") == pytest.approx(1)
     got = collections.defaultdict(list)
     for r in kneser_ney.scores(docs, model).collect():
         got[r["doc_id"]].append(r)
@@ -348,9 +374,12 @@ def test_kneser_ney(spark, docs, monkeypatch):
         r = got[i][0]
         assert (r["n_tokens"], r["n_known"]) == (len(w), sum(count[x] > 0 for x in w))
         assert r["base_score"] == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
-        assert r["score"] == pytest.approx(sum(math.log10(p(x, y)) for x, y in zip([b"\0start", *w], w)), rel=1e-9)
+        assert r["score"] == pytest.approx(sum(math.log10(p(*x)) for x in zip([None, start, *w], [start, *w], w)), rel=1e-9)
     empty = kneser_ney.fit(docs.where("false"))
     assert kneser_ney.scores(docs, empty).count() == docs.count()
+    os.remove(f"{model.path}/{model.written['main'][0]}.main")
+    with pytest.raises(Exception, match="No such file"):
+        kneser_ney.scores(docs, model).collect()
 
 
 def test_classifiers_on_held_out_rows(spark):
