@@ -111,6 +111,21 @@ def by_slices(strings: pa.Array, f: Callable[[list], Iterable], kind: pa.DataTyp
     return pa.concat_arrays(made) if made else pa.array([], kind)
 
 
+#: A key is hot if it has at least 1 / HOT of all rows, so at most HOT keys are.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """rows inner-joined to table (one row for each non-null key; `often`: how many of the `total` rows have it).
+
+    Hot keys are broadcast, so their rows stay where they are; the others' rows are shuffled to their keys.
+    """
+    hot = F.col(often) * HOT >= total
+    few, rest = F.broadcast(table.where(hot).drop(often)), table.where(~hot).drop(often)
+    marked = rows.join(few.select(F.col(key), F.lit(True).alias("__hot")), key, "left")
+    return rows.join(few, key).unionByName(marked.where("__hot IS NULL").drop("__hot").join(rest, key))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, per: int = 100_000) -> DataFrame:
     """df with `rank`: gapless from 0 within each value of keys, however many rows share one.
 

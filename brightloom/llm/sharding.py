@@ -4,25 +4,26 @@ Indivisible groups, sorted by size, each enter the shard with the tightest remai
 balanced tree. The capacity is the least (up to a step of 2^k * STEP) at which the groups fill no more than the shards
 wanted, so their sizes come out near equal. A group beyond an even share has a shard to itself, and the rest is shared out anew.
 
-The driver packs a bounded number of items whatever the input: groups of at least 1 / (shards * FINE) of all bytes (so
-at most shards * FINE) as they are, smaller ones bundled by hash into BUNDLES bundles and, a MICRO-th of them, into
-MICROS finer ones that level the ends. Bundles are of whole groups, so no group is split.
+Every group is packed. Groups of one size are alike, so the driver packs the histogram of sizes: the tightest shard takes
+groups of a size for as long as it has room (it stays the tightest), then the next does. Each group finds its shard by its
+rank among those of its size. Distinct sizes number at most the square root of twice all bytes, however many groups there are.
 
 Null texts count as empty; equal texts form a group; texts of equal 64-bit hash would share one, which splits none.
+Repeated rows are sharded as often as they occur; an empty table has no rows.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stage, texts
+from .common import lookup, ranked, stage, texts
 
-FINE = 250
-BUNDLES = 8192
-MICRO, MICROS = 32, 4096
 STEP = 2e-5
 OVERHEAD = 16
 
@@ -71,34 +72,39 @@ class Tree:
         return best
 
 
-def fill(sizes: list[int], capacity: int, most: int) -> list[int] | None:
-    """Best-fit decreasing of sizes (descending) into bins of the capacity; the bin of each, None if it takes over `most`."""
+def fill(counts: list[tuple[int, int]], capacity: int, most: int) -> list[tuple[int, int, int]] | None:
+    """Best-fit decreasing of (size, how many), sizes descending, into bins of the capacity: runs (size, how many, bin); None beyond `most` bins."""
     tree, bins, out = Tree(), 0, []
-    for size in sizes:
-        got = tree.take_at_least((size, -1))
-        if got is None:
-            if bins == most:
-                return None
-            got = (capacity, bins)
-            bins += 1
-        out.append(got[1])
-        tree.insert((got[0] - size, got[1]))
+    for size, left in counts:
+        while left:
+            got = tree.take_at_least((size, -1))
+            if got is None:
+                if bins == most:
+                    return None
+                got = (capacity, bins)
+                bins += 1
+            n = min(left, got[0] // size)
+            out.append((size, n, got[1]))
+            tree.insert((got[0] - n * size, got[1]))
+            left -= n
     return out
 
 
-def share_out(sizes: list[int], shards: int) -> list[int]:
-    """The shard of each size (descending)."""
-    out, left, total = [], shards, sum(sizes)
-    while len(out) < len(sizes) and left > 1 and sizes[len(out)] * left >= total:
-        total -= sizes[len(out)]
-        out.append(shards - left)
+def share_out(counts: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """Runs (size, how many, shard) of (size > 0, how many), sizes descending."""
+    rest, out, left, total = [list(c) for c in counts if c[1]], [], shards, sum(s * n for s, n in counts)
+    while rest and left > 1 and rest[0][0] * left >= total:
+        out.append((rest[0][0], 1, shards - left))
+        total -= rest[0][0]
         left -= 1
-    rest, base = sizes[len(out) :], shards - left
+        rest[0][1] -= 1
+        if not rest[0][1]:
+            rest.pop(0)
     step = 0.0
     while rest:
-        got = fill(rest, max(rest[0], int(-(-total // left) * (1 + step))), left)
+        got = fill([tuple(r) for r in rest], max(rest[0][0], int(-(-total // left) * (1 + step))), left)
         if got is not None:
-            return out + [base + g for g in got]
+            return out + [(s, n, shards - left + b) for s, n, b in got]
         step = step * 2 or STEP
     return out
 
@@ -111,19 +117,22 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
         ),
         "digests",
     )
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
-    groups = stage(rows.groupBy("h").agg(F.sum("size").alias("size")), "groups")
-    large = F.col("size") * (shards * FINE) >= whole["size"]
-    bundle = F.when(F.pmod("h", F.lit(MICRO)) == 0, BUNDLES + F.pmod(F.shiftright("h", 5), F.lit(MICROS))).otherwise(F.pmod(F.shiftright("h", 5), F.lit(BUNDLES)))
-    items = [(r["size"], False, r["h"]) for r in groups.where(large).collect()]
-    items += [(r["size"], True, r["b"]) for r in groups.where(~large).groupBy(bundle.alias("b")).agg(F.sum("size").alias("size")).collect()]
-    items.sort(key=lambda i: (-i[0], i[1], i[2]))
-    where = share_out([i[0] for i in items], shards)
-    spark = docs.sparkSession
-    big = spark.createDataFrame([(i[2], s) for i, s in zip(items, where, strict=True) if not i[1]], "h long, big int")
-    small = spark.createDataFrame([(i[2], s) for i, s in zip(items, where, strict=True) if i[1]], "b long, small int")
-    put = (
-        rows.join(F.broadcast(big), "h", "left").withColumn("b", bundle.cast("long")).join(F.broadcast(small), "b", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("big", "small").alias("shard"))
-    )
-    return ranked(put, ["shard"], ["doc_id", "text_crc32", "size"], whole["n"]).withColumnRenamed("rank", "slot")
+    n = rows.count()
+    groups = stage(rows.groupBy("h").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "groups")
+    histogram = groups.groupBy("size").agg(F.count(F.lit(1)).alias("groups")).toArrow().sort_by([("size", "descending")])
+    runs = np.array(share_out(list(zip(*(histogram.column(c).to_pylist() for c in ("size", "groups")), strict=True)), shards), np.int64).reshape(-1, 3)
+    runs = runs[np.argsort(-runs[:, 0], kind="stable")]
+    sizes, first = np.unique(-runs[:, 0], return_index=True)
+    begin = np.cumsum(runs[:, 1]) - runs[:, 1]  # the place of each run's first group among all, by size and then rank
+    plan = docs.sparkSession.sparkContext.broadcast((sizes, begin[first], begin, runs[:, 2].astype(np.int32)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, base, begin, where = plan.value
+        for b in batches:
+            size, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("size", "rank"))
+            at = base[np.searchsorted(sizes, -size)] + rank
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("n"), pa.array(where[np.searchsorted(begin, at, side="right") - 1])], ["h", "n", "shard"])
+
+    put = ranked(groups, ["size"], ["h"], n).select("h", "n", "size", "rank").mapInArrow(place, "h long, n long, shard int")
+    placed = lookup(rows, stage(put, "shards"), "h", "n", n).drop("h")
+    return ranked(placed, ["shard"], ["doc_id", "text_crc32", "size"], n).withColumnRenamed("rank", "slot")
