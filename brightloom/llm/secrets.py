@@ -2,7 +2,8 @@
 
 Patterns give spans of kinds assign, access and hex (see find). A value that a credential word introduces ("password is X",
 "Bearer X", "auth token X"; a cheap value that is such a word itself introduces the next one) is cut into words, dates,
-repeats, keyboard walks and brute-force spans at the least total guess cost, by dynamic programming over its characters.
+repeats, keyboard walks and brute-force spans at the least total guess cost, by dynamic programming over its characters and
+every span of up to SPAN of them.
 From 10^COST guesses on it is a span of kind guess: a placeholder such as "changeme123" or "example" is cheap, a random
 string, of letters only or not, is not. Words are common ones and, for values of letters only (which may be prose), those
 that two tokenizers' vocabularies hold, by rank. Spans are in code points, end exclusive.
@@ -29,6 +30,8 @@ from .common import by_slices, ship, slices, texts
 KINDS = ("assign", "access", "hex", "guess")
 #: Power of ten of guesses from which a value counts as a secret.
 COST = 9.0
+#: The most characters of a segment, and what each cut adds.
+SPAN, CUT = 64, 0.3
 _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -72,7 +75,7 @@ def _ranks(letters: bool) -> tuple[dict[str, int], int]:
 _LEET = str.maketrans("04318$5@7", "oaeibssat")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, i + 0.5 * r) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
-_DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)(?!\d)")
+_DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 
 
 def _near(a: str, b: str) -> bool:
@@ -80,56 +83,63 @@ def _near(a: str, b: str) -> bool:
     return p is not None and q is not None and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1.0
 
 
-def _runs(value: str, joins) -> list[tuple[int, int]]:
-    """Maximal spans in which joins(each character, the next) holds."""
-    out, start = [], 0
-    for i in range(1, len(value) + 1):
-        if i == len(value) or not joins(value[i - 1], value[i]):
-            out.append((start, i))
-            start = i
-    return out
-
-
-def guess_cost(value: str) -> float:
-    """Base-10 logarithm of the guesses that the cheapest segmentation needs."""
+def segments(value: str) -> Iterator[tuple[int, int, float]]:
+    """Every span that a segment of the value may be, with its cost; brute-force characters apart. Spans have at most SPAN characters."""
     n, low = len(value), value.lower()
     plain, (ranks, longest) = low.translate(_LEET), _ranks(value.isalpha())
-    by_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-
-    def offer(i: int, j: int, cost: float) -> None:
-        by_end[j].append((i, cost))
-
     for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
+        most = min(n, i + SPAN)
+        for j in range(i + 3, min(most, i + longest) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
                 if form in ranks:
                     case = 0.0 if value[i:j].islower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.0
-                    offer(i, j, math.log10(ranks[form] + 1) + case + (extra if form != low[i:j] else 0.0))
+                    yield i, j, math.log10(ranks[form] + 1) + case + (extra if form != low[i:j] else 0.0)
                     break
-    for m in _DATE.finditer(value):
-        offer(m.start(), m.end(), 2.0 if m.end() - m.start() == 4 else 4.3)
-    # the end of a run may belong to what follows: its last few characters are offered as ends too
-    for i, j in _runs(value, lambda a, b: a == b):
-        for e in range(max(i + 3, j - 2), j + 1):
-            offer(i, e, math.log10(12.0 * (e - i)))
-    for i, j in _runs(low, _near):
-        for e in range(max(i + 4, j - 2), j + 1):
-            offer(i, e, math.log10(47.0 * (e - i)) + 0.35 * sum(_PLACE[low[k]][0] != _PLACE[low[k - 1]][0] for k in range(i + 1, e)))
-    for step in (1, -1):
-        for i, j in _runs(low, lambda a, b, step=step: a.isalnum() and b.isalnum() and ord(b) - ord(a) == step):
-            for e in range(max(i + 3, j - 2), j + 1):
-                offer(i, e, math.log10(8.0 * (e - i)))
-    for m in re.finditer(r"(.{2,16}?)\1+", low):  # a block in a row costs what it costs once, times the rounds
-        unit = m.group(1)
-        if len(set(unit)) > 1:
-            offer(m.start(), m.end(), min(1.0 * len(unit), math.log10(ranks[unit] + 1) if unit in ranks else 99.0) + math.log10((m.end() - m.start()) / len(unit)))
-    best = [0.0] * (n + 1)
-    for j in range(1, n + 1):  # a brute-force character costs a factor of ten, a digit a little less, any cut a factor of two
-        best[j] = best[j - 1] + (0.9 if value[j - 1].isdigit() else 1.0)
-        for i, cost in by_end[j]:
-            if best[i] + cost + 0.3 < best[j]:
-                best[j] = best[i] + cost + 0.3
-    return best[n]
+        if value[i].isdigit():
+            for j in range(i + 4, min(most, i + 10) + 1):
+                if _DATE.fullmatch(value, i, j):
+                    yield i, j, 2.0 if j - i == 4 else 4.3
+        j = i + 1
+        while j < most and value[j] == value[i]:
+            j += 1
+            if j - i >= 3:
+                yield i, j, math.log10(12.0 * (j - i))
+        j, turns = i + 1, 0
+        while j < most and _near(low[j - 1], low[j]):
+            turns += _PLACE[low[j - 1]][0] != _PLACE[low[j]][0]
+            j += 1
+            if j - i >= 4:
+                yield i, j, math.log10(47.0 * (j - i)) + 0.35 * turns
+        for step in (1, -1):
+            j = i + 1
+            while j < most and low[j].isalnum() and low[j - 1].isalnum() and ord(low[j]) - ord(low[j - 1]) == step:
+                j += 1
+                if j - i >= 3:
+                    yield i, j, math.log10(8.0 * (j - i))
+        for p in range(2, 17):  # a block in a row costs what it costs once, times the rounds
+            unit = low[i : i + p]
+            if low[i + p : i + 2 * p] != unit or len(set(unit)) < 2:
+                continue
+            once, j = min(1.0 * p, math.log10(ranks[unit] + 1) if unit in ranks else 99.0), i + 2 * p
+            while j <= most and low[j - p : j] == unit:
+                yield i, j, once + math.log10((j - i) / p)
+                j += p
+
+
+def brute(character: str) -> float:
+    """A brute-force character costs a factor of ten, a digit a little less."""
+    return 0.9 if character.isdigit() else 1.0
+
+
+def guess_cost(value: str) -> float:
+    """Base-10 logarithm of the guesses that the cheapest segmentation needs; each segment that is no brute force adds CUT."""
+    by_end: list[list[tuple[int, float]]] = [[] for _ in range(len(value) + 1)]
+    for i, j, cost in segments(value):
+        by_end[j].append((i, cost + CUT))
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min([best[j - 1] + brute(value[j - 1]), *(best[i] + cost for i, cost in by_end[j])]))
+    return best[-1]
 
 
 def find(text: str, cost: float = COST) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -158,23 +168,23 @@ def join(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, cost: float = COST) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans of each row of docs (doc_id, text)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_guess of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             counts, digest, spans = [[] for _ in KINDS], [], []
             for text in b.column("text").to_pylist():
-                base, more = find(text, cost)
-                both = sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
+                base, added = find(text, cost)
+                both = sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
                 for kind, n in zip(KINDS, counts, strict=True):
                     n.append(sum(s[0] == kind for s in both))
                 digest.append(hashlib.sha256(join(base).encode()).hexdigest())
                 spans.append(join(both))
-            cols = [b.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            *counts, guesses = (pa.array(n, pa.int64()) for n in counts)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array(digest, pa.string()), pa.array(spans, pa.string()), guesses], ["doc_id", *(m.name for m in more)])
 
     d = texts(docs)
-    more = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    more = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:-1]), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_guess", T.LongType())]
     return d.mapInArrow(run, T.StructType([d.schema["doc_id"], *more]))
 
 
