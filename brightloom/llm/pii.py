@@ -13,6 +13,7 @@ beginning or where the last match ended, which finds the same matches in linear
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 
@@ -197,20 +198,30 @@ def leaf(tree, row) -> float:
     return tree
 
 
-def fit(spark: SparkSession) -> tuple[float, list, float]:
-    """Prior, trees and the margin from which a candidate is selected."""
-    made = spark.createDataFrame(examples(), "text string, y int").withColumn("c", F.explode(candidates(F.col("text"))))
+def calibrated(margins: list[tuple[float, int]], precision: float = PRECISION) -> float:
+    """The lowest margin of (margin, label) from which on selections are right as often as asked; ties are selected together."""
+    margins, hits, threshold = sorted(margins, reverse=True), 0, math.inf
+    for n, (margin, label) in enumerate(margins, 1):
+        hits += label
+        if hits >= precision * n and (n == len(margins) or margins[n][0] < margin):
+            threshold = margin
+    return threshold
+
+
+@functools.cache
+def _learned(n: int, trees: int, rate: float, precision: float) -> tuple[float, list, float]:
+    spark = SparkSession.active()
+    made = spark.createDataFrame(examples(n), "text string, y int").withColumn("c", F.explode(candidates(F.col("text"))))
     rows = made.select("text", "y", *(v.cast("double").alias(k) for k, v in features(F.col("c")).items())).collect()
     rows.sort(key=lambda r: tuple(r))
     x, y = [[r[k] for k in FEATURES] for r in rows], [r["y"] for r in rows]
-    prior, trees = boost(x[::2], y[::2])
-    margins = sorted(((prior + sum(leaf(t, v) for t in trees), label) for v, label in zip(x[1::2], y[1::2], strict=True)), reverse=True)
-    threshold, hits = 0.0, 0
-    for n, (margin, label) in enumerate(margins, 1):  # the lowest margin at which selections are right as often as asked
-        hits += label
-        if hits >= PRECISION * n:
-            threshold = margin
-    return prior, trees, threshold
+    prior, grown = boost(x[::2], y[::2], trees, rate)
+    return prior, grown, calibrated([(prior + sum(leaf(t, v) for t in grown), label) for v, label in zip(x[1::2], y[1::2], strict=True)], precision)
+
+
+def fit(spark: SparkSession) -> tuple[float, list, float]:
+    """Prior, trees and the margin from which a candidate is selected; the same at every call, so learned once a process."""
+    return _learned(EXAMPLES, TREES, RATE, PRECISION)
 
 
 def _score(x: Column, prior: float, trees: list) -> Column:
@@ -249,9 +260,9 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256 and spans of each row of docs (doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added of each row of docs (doc_id, text)."""
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     both = F.array_sort(F.concat("base", "added"))
     return spans(docs).select(
-        "doc_id", *(count(k) for k in BASE), F.size("added").cast("long").alias("n_added"), F.sha2(F.encode(_joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"), _joined(both).alias("spans")
+        "doc_id", *(count(k) for k in BASE), F.sha2(F.encode(_joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"), _joined(both).alias("spans"), F.size("added").cast("long").alias("n_added")
     )
