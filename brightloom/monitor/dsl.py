@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 TEMPLATES = ("threshold", "change", "ranking", "window_count")
 _OPS = {
-    "==": lambda c, v: c == v, "!=": lambda c, v: c != v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
-    "in": lambda c, v: c.isin(list(v)), "not_in": lambda c, v: ~c.isin(list(v)),
+    "==": lambda c, v: c.eqNullSafe(v), "!=": lambda c, v: ~c.eqNullSafe(v), ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
+    "in": lambda c, v: c.isin(list(v)), "not_in": lambda c, v: F.coalesce(~c.isin(list(v)), F.lit(True)),
 }
 
 
@@ -50,25 +50,28 @@ def template_sql(kind: str, spec: dict) -> str:
     raise ValueError(f"unknown template: {kind}")
 
 
-def condition(tree: dict) -> Column:
-    """A tree of all, any, not and {field, op, value} as a Column. min_rows has its own check."""
+def condition(tree: dict, rows: int = 0) -> Column:
+    """A tree of all, any, not, min_rows and {field, op, value} as a Column. rows: how many rows the rule's SQL returned.
+
+    A null differs from every value but null, is in no list, and meets no order comparison.
+    """
+    if "min_rows" in tree:
+        return F.lit(rows >= int(tree["min_rows"]))
     if "all" in tree:
-        return reduce(lambda a, b: a & b, map(condition, tree["all"]), F.lit(True))
+        return reduce(lambda a, b: a & b, (condition(t, rows) for t in tree["all"]), F.lit(True))
     if "any" in tree:
-        return reduce(lambda a, b: a | b, map(condition, tree["any"]), F.lit(False))
+        return reduce(lambda a, b: a | b, (condition(t, rows) for t in tree["any"]), F.lit(False))
     if "not" in tree:
-        return ~condition(tree["not"])
-    if "min_rows" in tree:
-        return F.lit(True)
+        return ~condition(tree["not"], rows)
     if tree.get("op") not in _OPS:
         raise ValueError(f"unsupported operator: {tree.get('op')}")
     return F.coalesce(_OPS[tree["op"]](F.col(_name(tree["field"])), tree["value"]), F.lit(False))
 
 
-def min_rows(tree: dict) -> int:
-    """The most rows that any min_rows of the tree asks for."""
-    inner = [min_rows(t) for k in ("all", "any") for t in tree.get(k, [])]
-    return max([int(tree.get("min_rows", 0)), *inner], default=0)
+def asked_rows(tree: dict) -> int:
+    """The largest min_rows anywhere in the tree: no more rows need be counted."""
+    inner = [asked_rows(t) for k in ("all", "any") for t in tree.get(k, [])] + ([asked_rows(tree["not"])] if "not" in tree else [])
+    return max([int(tree.get("min_rows", 0)), *inner])
 
 
 def validate(spec: dict) -> list[str]:

@@ -104,12 +104,11 @@ def execute_once(spark: SparkSession, store: Store, rule: str, data: DataFrame,
     data.createOrReplaceTempView("current_snapshot")
     (previous if previous is not None else data.limit(0)).createOrReplaceTempView("previous_snapshot")
     found = spark.sql(spec["sql"])
-    kept = found.where(dsl.condition(spec["condition"]))
-    least = max(1, dsl.min_rows(spec["condition"]))
-    enough = least == 1 or kept.limit(least).count() >= least
+    asked = dsl.asked_rows(spec["condition"])
+    kept = found.where(dsl.condition(spec["condition"], found.limit(asked).count() if asked > 1 else 1))  # a row that is there is one
     at = now.timestamp()
     signals = promoted = 0
-    for r in kept.toLocalIterator() if enough else ():  # a partition at a time: the driver never holds them all
+    for r in kept.toLocalIterator():  # a partition at a time: the driver never holds them all
         row = r.asDict(recursive=True)
         store.add_signal(rule, at, row)
         promoted += promote(store, rule, spec, row, at)

@@ -18,7 +18,8 @@ _CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x
 def tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits; of each CJK run all 1-, 2- and 3-grams and, if 2 to 8 long, itself once more."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    ascii_ = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    ascii_ = F.array_remove(F.split(F.translate(text, upper, upper.lower()), "[^a-z0-9]+"), "")
 
     none = F.array().cast("array<string>")
 
@@ -30,7 +31,8 @@ def tokens(text: Column) -> Column:
         return F.concat(*(slices(run, k) for k in (1, 2, 3)), F.when(F.length(run).between(2, 8), F.array(run)).otherwise(none))
 
     runs = F.regexp_extract_all(text, F.lit(_CJK), F.lit(0))
-    return F.concat(ascii_, F.when(text.rlike(_CJK), F.flatten(F.transform(runs, grams))).otherwise(none))
+    may = (F.octet_length(text) > F.length(text)) & text.rlike(_CJK)
+    return F.when(may, F.concat(ascii_, F.flatten(F.transform(runs, grams)))).otherwise(ascii_)
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:
@@ -51,9 +53,10 @@ def _gain(tf: Column, length: Column, average: Column) -> Column:
 def bm25(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     """docs (with tokens, length and all other columns) scored: keyword_score over zero.
 
-    Term counts of a row are one pass over its tokens; N, the mean length and document frequencies are one aggregate.
+    A row's count of a term is what its tokens lose by the term's removal; N, the mean length and document frequencies are
+    one aggregate.
     """
-    tf = [F.expr(f"aggregate(__tokens, 0, (n, x) -> n + IF(x = {_quote(t)}, 1, 0))") for t in terms]
+    tf = [F.size("__tokens") - F.size(F.array_remove("__tokens", t)) for t in terms]
     counted = docs.withColumn("__tf", F.array(*tf)).withColumn("__length", F.size("__tokens"))
     stats = counted.agg(
         F.count(F.lit(1)).alias("__n"), F.avg("__length").alias("__average"), F.array(*[F.sum((F.col("__tf")[i] > 0).cast("long")) for i in range(len(terms))]).alias("__df")
@@ -66,10 +69,6 @@ def bm25(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     return joined.withColumn("keyword_score", total).drop("__tokens", "__tf", "__length", "__n", "__average", "__df").where("keyword_score > 0")
 
 
-def _quote(term: str) -> str:
-    return "'" + term.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def keyword_search(df: DataFrame, columns: Sequence[str], query: str, top_k: int = 10, tie: str | None = None) -> DataFrame:
     """The top_k rows of df by BM25 over the columns taken together, all columns and keyword_score. df is the whole corpus."""
     if "keyword_score" in df.columns:
@@ -86,6 +85,8 @@ def build_keyword_index(tables: Sequence[DataFrame], text_columns: Sequence[str]
     """
     if analyzer not in ("builtin", "jieba"):
         raise ValueError(f"unsupported analyzer: {analyzer}")
+    if analyzer == "jieba":
+        raise ImportError("the jieba analyzer needs its package and dictionary, which this engine doesn't have; builtin indexes n-grams")
     labels = list(source_labels or (f"dataset_{i}" for i in range(len(tables))))
     docs = None
     for label, t in zip(labels, tables, strict=True):

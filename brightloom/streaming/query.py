@@ -354,6 +354,7 @@ class RetainedState:
     def __init__(self, path: str, keys: list[str], specs: list[tuple], keep: int, window: str | None):
         self.path, self.keys, self.specs, self.keep = path, keys, specs, keep
         self.window = window if window in keys else next((k for k in keys if "window" in k), None)
+        self.held: DataFrame | None = None
 
     def _state(self, spark: SparkSession, batch: int) -> DataFrame | None:
         at = f"{self.path}/{batch}"
@@ -378,7 +379,9 @@ class RetainedState:
             kept = merged.join(F.broadcast(windows.select(self.window)), self.window, "left_semi")
         else:
             kept = merged
-        merged = merged.persist()
+        if self.held is not None:  # the last batch's sink is done with it
+            self.held.unpersist()
+        self.held = merged.persist()
         kept.drop("touched").write.mode("overwrite").parquet(f"{self.path}/{batch}")
         old = f"{self.path}/{batch - 2}"
         if os.path.isdir(old):

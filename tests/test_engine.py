@@ -311,3 +311,18 @@ def test_monitor_takes_every_matching_row(spark):
     assert (got["signals"], got["focus_events"]) == (1300, 1300)
     assert sorted(int(e["title"]) for e in store.focus_events(limit=-1)) == list(range(200, 1500))
     assert store.db.execute("SELECT count(*) FROM signals").fetchone() == (1300,)
+
+
+def test_monitor_min_rows_inside_trees(spark):
+    from brightloom.monitor import dsl, runtime
+
+    df = spark.createDataFrame([(1,), (4,), (None,)], "x int")
+    kept = lambda tree: sorted(str(r["x"]) for r in df.where(dsl.condition(tree, df.count())).collect())
+    over = {"field": "x", "op": ">", "value": 3}
+    assert kept({"any": [{"min_rows": 5}, over]}) == ["4"] and kept({"any": [{"min_rows": 3}, over]}) == ["1", "4", "None"]
+    assert kept({"not": {"min_rows": 5}}) == ["1", "4", "None"] and kept({"all": [{"not": {"min_rows": 2}}, over]}) == []
+    assert kept({"field": "x", "op": "!=", "value": 1}) == ["4", "None"] and kept({"field": "x", "op": "not_in", "value": [1]}) == ["4", "None"]
+    store = runtime.Store()
+    for least, signals in ((3, 1), (4, 0)):  # counted over what the SQL returns, not over what is kept
+        rule = store.save_rule({"name": "r", "sql": "SELECT * FROM input", "condition": {"all": [{"min_rows": least}, over]}})
+        assert runtime.execute_once(spark, store, rule, df)["signals"] == signals
