@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stage, texts
 
@@ -26,6 +27,7 @@ ANCHORS = tuple(
 )
 #: Documents a bucket of the neighbour search holds, and the most buckets.
 BUCKET_ROWS, BUCKETS = 5_000, 4096
+SAMPLE = 20
 
 
 def _let(value: Column, use) -> Column:
@@ -75,17 +77,25 @@ def _bucket(doc_id: Column, bounds: list) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k <= len(bounds)) & (F.try_element_at(all_, at + k) <= doc_id), at + k).otherwise(at))
 
 
+def _quantiles(d: DataFrame, cuts: int) -> list:
+    """Ids that part the rows about evenly: quantiles of numbers; of other ids those of the SAMPLE for each cut with the least hashes."""
+    if isinstance(d.schema["doc_id"].dataType, T.NumericType):
+        return d.agg(F.percentile_approx("doc_id", [i / (cuts + 1) for i in range(1, cuts + 1)], 20_000)).first()[0] or []
+    known = d.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(SAMPLE * (cuts + 1))
+    ids = sorted(r["doc_id"] for r in known.collect())
+    return [ids[len(ids) * i // (cuts + 1)] for i in range(1, cuts + 1)] if ids else []
+
+
 def with_next(docs: DataFrame, extra: dict[str, Column]) -> DataFrame:
     """doc_id, text and extra columns (of text), and next_<column> of the row after it by doc_id (after the last: the first).
 
     Rows are bucketed by quantiles of doc_id and sorted in their buckets; the first row of each bucket also goes to the
-    bucket before, where the last row finds it. At most BUCKETS ids come to the driver.
+    bucket before, where the last row finds it. At most SAMPLE * BUCKETS ids come to the driver.
     """
     d = texts(docs)
     n = d.count()
     cuts = min(BUCKETS, n // BUCKET_ROWS)
-    quantiles = d.agg(F.percentile_approx("doc_id", [i / (cuts + 1) for i in range(1, cuts + 1)], 20_000)).first()[0] if cuts else []
-    bounds = sorted(set(quantiles or []))
+    bounds = sorted(set(_quantiles(d, cuts))) if cuts else []
     d = d.withColumn("b", _bucket(F.col("doc_id"), bounds))
     heads = sorted((r["b"], r["head"]) for r in d.groupBy("b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))["doc_id"].alias("head")).collect())
     targets = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
@@ -134,10 +144,7 @@ def similar(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
     rarest = Window.partitionBy("set_id").orderBy("df", "sig")
     # a similar pair shares a spot among the first n - ceil(threshold * n) + 1 by rarity of either
     prefix = each.join(often, "sig").where("df > 1").select("set_id", "n", "sig", "df")
-    prefix = (
-        prefix.withColumn("k", F.row_number().over(rarest)).join(each.groupBy("set_id").agg(F.count(F.lit(1)).alias("all")), "set_id")
-        .where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("set_id", "n", "sig")
-    )
+    prefix = prefix.withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("set_id", "n", "sig")
     a, b = (prefix.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), "sig") for x in "ab")
     by_length = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9)
     ordered = (F.col("n_a") < F.col("n_b")) | (F.col("a") < F.col("b"))

@@ -54,6 +54,11 @@ def test_pii(spark, docs):
     assert pii.scan(docs.where("false")).count() == 0
 
 
+def test_pii_threshold_takes_ties_together():
+    assert pii.calibrated([(3.0, 1), (2.0, 1), (1.0, 1), (1.0, 0), (1.0, 0)], 0.7) == 2.0
+    assert pii.calibrated([(1.0, 1), (1.0, 0)], 0.5) == 1.0 and pii.calibrated([(1.0, 0)], 0.5) == float("inf") and pii.calibrated([], 0.5) == float("inf")
+
+
 def spots(text):
     words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
     stop, out = set(spotsigs.ANCHORS), set()
@@ -95,6 +100,13 @@ def test_next_with_ties_and_nulls(spark):
     assert (one["near_next"], one["near_edited"], one["fingerprint"]) == (1.0, 1.0, "")
 
 
+def test_next_of_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 10)
+    made = sorted((f"id-{i * 37 % 101}é", f"text number {i} of the many") for i in range(101))
+    got = {r["doc_id"]: r for r in spotsigs.with_next(spark.createDataFrame(made, "doc_id string, text string"), {}).collect()}
+    assert [got[k]["next_text"] for k, _ in made] == [t for _, t in made[1:] + made[:1]]
+
+
 def test_similar(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sets = {}
