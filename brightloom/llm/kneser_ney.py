@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import shared_path, slices, stage, texts
 
 #: Trigrams a task counts before it sends them on.
-BUFFER = 1_200_000
+BUFFER = 2_400_000
 #: Bytes of text a bucket stands for.
 BUCKET_BYTES = 10_000_000
 #: Share of rows sampled for frequent words, and the most of these.
@@ -54,7 +54,7 @@ _VALUE[65:91] = _VALUE[97:123]
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text hashed at a time.
-_CHUNK = 4_000_000
+_CHUNK = 2_000_000
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,27 +175,32 @@ def _sums(at: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [np.add.reduceat(c, at) if len(at) else c[:0] for c in columns]
 
 
-def _table(key: np.ndarray, *columns: np.ndarray) -> dict[str, np.ndarray]:
-    """Rows by 40 bits of key, sorted: 32 bits and 8, and each row's place among the distinct rows of the columns."""
-    order = np.argsort(key)
-    key = key[order] >> np.uint64(24)
+def _table(name: str, key: np.ndarray, *columns: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows by 40 bits of key, sorted: 32 bits and 8. Keys of the most usual row are apart; others have their place among the distinct rows."""
+    key = key >> np.uint64(24)
     if len(columns) == 1:
-        rows, place = np.unique(columns[0], return_inverse=True)
+        rows, place, n = np.unique(columns[0], return_inverse=True, return_counts=True)
         rows = rows[:, None]
     else:
-        rows, place = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)
+        rows, place, n = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True, return_counts=True)
     kind = np.uint8 if len(rows) < 1 << 8 else np.uint16 if len(rows) < 1 << 16 else np.uint32
-    return {"high": (key >> np.uint64(8)).astype(np.uint32), "low": key.astype(np.uint8), "row": place.ravel()[order].astype(kind), "rows": rows.astype(np.int64)}
+    place, usual, out = place.ravel().astype(kind), int(n.argmax()) if len(n) else 0, {f"{name}.rows": rows.astype(np.int64)}
+    out[f"{name}.usual"] = out[f"{name}.rows"][usual : usual + 1]
+    for part, at in (("usual", np.flatnonzero(place == usual)), ("other", np.flatnonzero(place != usual))):
+        at = at[np.argsort(key[at])]
+        out |= {f"{name}.{part}.high": (key[at] >> np.uint64(8)).astype(np.uint32), f"{name}.{part}.low": key[at].astype(np.uint8)}
+        if part == "other":
+            out[f"{name}.row"] = place[at]
+    return out
 
 
-def _write(path: str, tables: dict[str, dict[str, np.ndarray]]) -> None:
+def _write(path: str, table: dict[str, np.ndarray]) -> None:
     """One file: its head's length, the head (where each array lies), the arrays."""
     head, parts, at = {}, [], 0
-    for name, table in tables.items():
-        for k, array in table.items():
-            head[f"{name}.{k}"] = (at, array.dtype.str, array.shape)
-            parts.append(np.ascontiguousarray(array).tobytes() + bytes(-array.nbytes % 8))
-            at += len(parts[-1])
+    for name, array in table.items():
+        head[name] = (at, array.dtype.str, array.shape)
+        parts.append(np.ascontiguousarray(array).tobytes() + bytes(-array.nbytes % 8))
+        at += len(parts[-1])
     text = json.dumps(head).encode()
     text += b" " * (-len(text) % 8)
     temporary = f"{path}.{os.getpid()}-{os.urandom(4).hex()}"
@@ -239,6 +244,24 @@ class Model:
         return _Scorer(self)
 
 
+def _places(highs: np.ndarray, lows: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Where each sorted key lies among the sorted keys (highs, lows); -1 where it doesn't."""
+    out = np.full(len(high), -1, np.int64)
+    if not len(highs):
+        return out
+    place = np.minimum(np.searchsorted(highs, high), len(highs) - 1)
+    left = np.flatnonzero(highs[place] == high)
+    while len(left):  # keys of equal high bits lie in a row
+        at = place[left]
+        hit = lows[at] == low[left]
+        out[left[hit]] = at[hit]
+        left = left[~hit]
+        place[left] += 1
+        left = left[place[left] < len(highs)]
+        left = left[highs[place[left]] == high[left]]
+    return out
+
+
 class _Scorer:
     """Looks trigrams, contexts, pairs and words up in the mapped arrays."""
 
@@ -265,20 +288,16 @@ class _Scorer:
         high, low = (key >> np.uint64(8)).astype(np.uint32), key.astype(np.uint8)
         for s, e in _spans(bucket):
             have = self._map(kind, int(bucket[s]))
-            if have is None or not len(have[f"{table}.high"]):
+            if have is None:
                 continue
-            highs, lows = have[f"{table}.high"], have[f"{table}.low"]
-            place = np.minimum(np.searchsorted(highs, high[s:e]), len(highs) - 1)
-            left = np.flatnonzero(highs[place] == high[s:e])
-            while len(left):  # keys of equal high bits lie in a row
-                at = place[left]
-                hit = lows[at] == low[s:e][left]
-                if hit.any():
-                    out[:, order[s:e][left[hit]]] = have[f"{table}.rows"][have[f"{table}.row"][at[hit]]].T
+            to = order[s:e]
+            left = np.arange(e - s)
+            for part in ("other", "usual"):
+                place = _places(have[f"{table}.{part}.high"], have[f"{table}.{part}.low"], high[s:e][left], low[s:e][left])
+                hit = place >= 0
+                rows = have[f"{table}.usual"] if part == "usual" else have[f"{table}.rows"][have[f"{table}.row"][place[hit]]]
+                out[:, to[left[hit]]] = rows.T
                 left = left[~hit]
-                place[left] += 1
-                left = left[place[left] < len(highs)]
-                left = left[highs[place[left]] == high[s:e][left]]
         return out
 
     def __call__(self, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -404,11 +423,13 @@ def fit(train: DataFrame) -> Model:
 
         def send() -> Iterator[pa.RecordBatch]:
             token, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             word, ids = np.unique(np.append(token, np.array([START, BEFORE], np.uint64)), return_inverse=True)
-            w = ids[:-2].astype(np.int64)
+            w = ids[:-2].astype(np.int32)
             u, v = _before(w, np.cumsum(n) - n, int(ids[-2]), int(ids[-1]))
             starts = v == ids[-2]
             bucket, _ = _bucket(word[v], word[np.where(starts, w, u)], hot, buckets)
+            del token, ids, starts
             order = np.lexsort((w, (bucket * len(word) + v) * len(word) + u)) if buckets * len(word) ** 2 < 1 << 62 else np.lexsort((w, u, v, bucket))
             u, v, w, bucket = u[order], v[order], w[order], bucket[order]
             at = _runs(bucket, v, u, w)
@@ -429,7 +450,7 @@ def fit(train: DataFrame) -> Model:
             size += len(held[-1][0])
             if size >= BUFFER:
                 yield from send()
-                held, size = [], 0
+                size = 0
         if held:
             yield from send()
 
@@ -452,7 +473,9 @@ def fit(train: DataFrame) -> Model:
             at = _runs(context[order])
             often = _sums(at, *(x[rest][order].astype(np.int64) for x in (c, c == 1, c == 2, c > 2)))
             twice = np.flatnonzero(often[0] > 1)
-            tables = {"trigram": _table(key[rest], c[rest]), "context": _table(context[order][at][twice], *(x[twice] for x in often))}
+            tables = _table("trigram", key[rest], c[rest]) | _table("context", context[order][at][twice], *(x[twice] for x in often))
+            few = _few(c[rest])
+            del key, context, rest, often
             pair = _mix(v, w)
             order = np.argsort(pair)
             at = _runs(pair[order])
@@ -460,9 +483,9 @@ def fit(train: DataFrame) -> Model:
             v, w, pair = v[order][at], w[order][at], pair[order][at]
             spread = _bucket(v, w, hot, buckets)[1]
             whole = np.flatnonzero(~spread)
-            tables["pair"] = _table(pair[whole], a[whole])
-            _write(f"{path}/{bucket}.main", tables)
-            yield _summary(bucket, n=_few(c[rest]), m=_few(a[whole]))
+            _write(f"{path}/{bucket}.main", tables | _table("pair", pair[whole], a[whole]))
+            del tables, pair, u, c
+            yield _summary(bucket, n=few, m=_few(a[whole]))
             yield from _of_pairs(v[whole], w[whole], a[whole], counted, count_, buckets)
             part = np.flatnonzero(spread)
             to, _ = _bucket(v[part], w[part], hot, buckets)
@@ -478,7 +501,7 @@ def fit(train: DataFrame) -> Model:
             at = _runs(pair[order])
             (a,) = _sums(at, a[order].astype(np.int64))
             v, w, pair = v[order][at], w[order][at], pair[order][at]
-            _write(f"{path}/{bucket}.hot", {"pair": _table(pair, a)})
+            _write(f"{path}/{bucket}.hot", _table("pair", pair, a))
             yield _summary(bucket, m=_few(a))
             yield from _of_pairs(v, w, a, w[:0], a[:0], buckets)
 
@@ -488,7 +511,7 @@ def fit(train: DataFrame) -> Model:
             order = np.argsort(word)
             at = _runs(word[order])
             word, columns = word[order][at], _sums(at, *(x[order].astype(np.int64) for x in columns))
-            _write(f"{path}/{bucket}.words", {"word": _table(_mix(word, word), *columns)})
+            _write(f"{path}/{bucket}.words", _table("word", _mix(word, word), *columns))
             yield _summary(bucket, l=_few(columns[1]), tokens=[int(columns[0].sum())], distinct=[int((columns[0] > 0).sum())], continuations=[int(columns[1].sum())])
 
     out = "kind int, bucket int, blob binary"
@@ -523,7 +546,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for b in slices(batches, "text", 8_000_000):
+        for b in slices(batches, "text"):
             token, n = tokens(b.column("text"))
             p, base, c = scorer(token, n)
             first = np.cumsum(n) - n
