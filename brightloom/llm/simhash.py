@@ -12,8 +12,9 @@ a block key. k grows with the number of distinct fingerprints; any k finds every
 into parts, and each pair of parts is a task of its own. Tiles return spanning forests, never all pairs, and classes
 come from alternating star contraction, so neither a hot block nor a large class lands on one task or on the driver.
 
-Null or empty texts have fingerprint zero and link as any other. Repeated doc_ids each get their class; a null doc_id
-never names a class, and a class without any other id has none (null).
+Nodes are fingerprints, so rows of one doc_id and different texts stay apart and rows without a doc_id link as any other.
+Null or empty texts have fingerprint zero and link like the rest. Repeated doc_ids each get their own class; a null doc_id
+never names a class, and a class without any other id has none (null). An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stage, texts
+from .common import lookup, slices, stage, texts
 
 TILE = 1024
 BLOCK = 8192
@@ -262,11 +263,11 @@ def components(edges: DataFrame) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        """Hangs each node's larger (large) or smaller neighbours on the least of its neighbours and itself."""
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
+        """Hangs each node's larger (large) or smaller neighbours on the least of its neighbours and itself. n: how many edges e has."""
         near = both(e) if large else e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        low = near.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-        hung = near.join(low, "src")
+        low = near.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n")).select("src", F.least("src", "low").alias("low"), "n")
+        hung = lookup(near, low, "src", "n", 2 * n if large else n)
         if large:
             out = hung.where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         else:
@@ -274,13 +275,14 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("src != dst").distinct()
 
     now = stage(edges.where("src != dst").distinct(), "edges")
-    seen = None
-    while True:
-        now = stage(star(star(now, True), False), "stars")
+    n, seen = now.count(), None
+    while n:
+        now = stage(star(now, True, n), "stars")
+        now = stage(star(now, False, now.count()), "stars")
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst")), F.sum(F.xxhash64("src", "dst") % 1_000_003)).first()
         if mark == seen:
             break
-        seen = mark
+        n, seen = mark[0], mark
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(
         now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     )
@@ -289,12 +291,15 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp and component_id (least doc_id in the class) for each row of docs (doc_id, text)."""
     prints = stage(fingerprints(docs, width), "fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    masks = [m - (1 << 64) if m >> 63 else m for m in bands(radius, agreeing(nodes.count(), radius))]
+    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    whole = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    masks = [m - (1 << 64) if m >> 63 else m for m in bands(radius, agreeing(whole[0], radius))]
     blocks = F.array(*[F.col("f0").bitwiseAND(F.lit(m).cast("long")) for m in masks])
-    found = components(links(nodes.where("node IS NOT NULL").withColumnRenamed("fp", "f0"), blocks, 1, radius))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = components(links(nodes.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), blocks, 1, radius))
+    named = stage(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("class")), "classes")
+    by_class = named.groupBy("class").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    told = stage(lookup(named, by_class, "class", "members", whole[0]).select("fp", "n", "component_id"), "named")
+    return lookup(prints, told, "fp", "n", whole[1]).select("doc_id", "fp", "component_id")
 
 
 #: 64-bit fingerprints that the estimate of a similarity rests on, and the min-wise keys of two hashes that block it.

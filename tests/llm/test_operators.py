@@ -1,6 +1,7 @@
 """The Python-backed operators against brute-force versions and exact round trips."""
 
 import collections
+import functools
 import math
 import os
 import re
@@ -61,6 +62,31 @@ def test_simhash(spark, docs):
     assert simhash.classes(docs.where("false")).count() == 0
 
 
+def test_simhash_of_null_and_repeated_ids(spark, monkeypatch):
+    w = [f"w{i}" for i in range(400)]
+    for seed in range(200):  # three texts in a chain: neighbours link, the ends do not
+        r = np.random.default_rng(seed)
+        n, b = list(w), None
+        n[int(r.integers(400))] = "changed"
+        b = list(n)
+        b[int(r.integers(400))] = "again"
+        x, y, z = (simhash.fingerprint(" ".join(t)) for t in (w, n, b))
+        apart = [(i ^ j).bit_count() for i, j in ((x, y), (y, z), (x, z))]
+        if apart[0] <= 4 and apart[1] <= 4 < apart[2]:
+            break
+    else:
+        raise AssertionError("no chain")
+    a, n, b = (" ".join(t) for t in (w, n, b))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda rows: sorted(((r["doc_id"], r["component_id"]) for r in simhash.classes(frame(rows)).collect()), key=str)
+    assert got([(10, a), (None, n), (20, b)]) == [(10, 10), (20, 10), (None, 10)]
+    assert got([(3, a), (5, n), (5, "something else entirely and unrelated to it")]) == [(3, 3), (5, 3), (5, 5)]
+    assert got([(None, a), (7, None), (8, "")]) == [(7, 7), (8, 7), (None, None)]
+    monkeypatch.setattr(common, "HOT", 2)
+    many = [(i, a) for i in range(50, 80)] + [(90, n), (91, b), (92, "alone")]
+    assert got(many) == [*((i, 50) for i in range(50, 80)), (90, 50), (91, 50), (92, 92)]
+
+
 @pytest.mark.parametrize("block", [8192, 7])
 def test_simhash_blocks_lose_no_link(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
@@ -101,7 +127,7 @@ def test_distinct_keeps_one_of_each(spark, docs):
         half = w[:150] + r.choice(vocabulary, 150).tolist()
         made.append((200 + i, " ".join(half)))
     made += [(500, " ".join(texts[0])), (500, " ".join(texts[0])), (None, " ".join(texts[1])), (600, None), (601, ""), (602, "short one"), (602, "another short")]
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in made], "doc_id long, text string, node string, t int")
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in made], "doc_id long, text string, node string, __t int")
     got = simhash.distinct(df)
     assert got.columns == df.columns
     assert sorted(x["doc_id"] for x in got.collect()) == sorted([*range(30), *range(200, 230), 600, 602, 602])
@@ -200,20 +226,43 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs.where("false"), 8).count() == 0
 
 
-def test_sharding_fills_the_tightest_bin():
-    r = np.random.default_rng(2)
-    sizes = sorted((int(x) for x in r.integers(1, 400, 500)), reverse=True)
-    bins, want = [], []
-    for s in sizes:
-        fit = min(((room, b) for b, room in enumerate(bins) if room >= s), default=None)
+def best_fit(sizes, capacity):
+    """The bin of each size (descending), one at a time."""
+    bins, out = [], []
+    for x in sizes:
+        fit = min(((room, b) for b, room in enumerate(bins) if room >= x), default=None)
         if fit is None:
-            bins.append(1000)
-            fit = (1000, len(bins) - 1)
-        bins[fit[1]] -= s
-        want.append(fit[1])
-    assert sharding.fill(sizes, 1000, 500) == want
-    giant = sharding.share_out([900, 10, 10, 10, 10, 5, 5], 4)
-    assert giant.count(giant[0]) == 1
+            bins.append(capacity)
+            fit = (capacity, len(bins) - 1)
+        bins[fit[1]] -= x
+        out.append(fit[1])
+    return out
+
+
+def spread_out(runs):
+    return [(size, b) for size, n, b in runs for _ in range(n)]
+
+
+@pytest.mark.parametrize("top", [400, 40])
+def test_sharding_fills_the_tightest_bin(top):
+    sizes = sorted((int(x) for x in np.random.default_rng(2).integers(1, top, 500)), reverse=True)
+    counts = sorted(collections.Counter(sizes).items(), reverse=True)
+    assert spread_out(sharding.fill(counts, 1000, 500)) == list(zip(sizes, best_fit(sizes, 1000)))
+    giant = spread_out(sharding.share_out([(900, 1), (10, 4), (5, 2)], 4))
+    assert len(giant) == 7 and [b for _, b in giant].count(giant[0][1]) == 1 and {b for _, b in giant} == {0, 1, 2, 3}
+    assert sharding.share_out([], 4) == []
+
+
+def test_sharding_packs_each_of_many_groups(spark):
+    r = np.random.default_rng(5)
+    made = [(i, f"{i} " + "x" * int(k)) for i, k in enumerate(r.zipf(1.5, 20_000) % 3000)]
+    got = sharding.shard(spark.createDataFrame(made, "doc_id long, text string").repartition(8), 40).collect()
+    sizes = sorted((r["size"] for r in got), reverse=True)
+    step, even = 0.0, -(-sum(sizes) // 40)
+    while max(want := best_fit(sizes, max(sizes[0], int(even * (1 + step))))) > 39:
+        step = step * 2 or sharding.STEP
+    by = collections.Counter((r["size"], r["shard"]) for r in got)
+    assert len(got) == 20_000 and by == collections.Counter(zip(sizes, want))
 
 
 def test_decontamination(spark, docs):
@@ -300,6 +349,21 @@ def test_secrets_of_letters_and_behind_two_credential_words():
 
 
 def test_guess_cost_is_the_least():
+    @functools.cache
+    def least(value, i):
+        if i == len(value):
+            return 0.0
+        rest = [c + secrets.CUT + least(value, j) for s, j, c in secrets.segments(value) if s == i]
+        return min([secrets.brute(value[i]) + least(value, i + 1), *rest])
+
+    r = np.random.default_rng(8)
+    parts = ["password", "ertyuiop", "aaaa", "abab", "1999", "20240131", "xq7", "zyx", "P@ssw0rd", "31.12.2001", "!", "9", "token", "abcabcabc", "qazwsx"]
+    for _ in range(150):
+        value = "".join(r.choice(parts, int(r.integers(1, 5))))
+        assert secrets.guess_cost(value) == pytest.approx(least(value, 0))
+    parted = secrets.guess_cost("password") + secrets.guess_cost("ertyuiop")
+    assert secrets.guess_cost("passwordertyuiop") <= parted + 1e-9
+    assert secrets.guess_cost("x" * 20_000) < 20_000 and secrets.guess_cost("") == 0
     assert secrets.guess_cost("password") < secrets.guess_cost("passwort7") < secrets.guess_cost("xq7vz9kw2")
     for walk in ("qwertyuiop", "20240131", "aaaaaaaa", "abcabcabc", "abcdefgh"):
         assert secrets.guess_cost(walk) < 5 < secrets.guess_cost("k3vq9xw7")
