@@ -365,17 +365,17 @@ def distinct(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     rows = stage(d.mapInArrow(run, schema), "sketches")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t"))
     size = F.max(F.octet_length("packed")).alias("size")
-    nodes = stage(rows.groupBy("node").agg(*(F.first(x).alias(x) for x in names), best.alias("best"), size), "nodes")
+    nodes = stage(rows.groupBy("node").agg(*(F.first(x).alias(x) for x in names), best.alias("best"), size, F.count(F.lit(1)).alias("n")), "nodes")
+    whole = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     packed = rows.select("node", "packed").dropDuplicates(["node"])  # of texts with one set of shingles any will do
     found = components(links(nodes, F.array(*names[WORDS:]), WORDS, bits_apart(similarity), packed, width, similarity))
-    named = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "best")
-    keep = named.groupBy("class").agg(F.min("best").alias("best"))
-    kept = stage(named.join(keep.select("class", F.col("best").alias("keep")), "class").select("node", "keep"), "kept")
-    drop = (
-        rows.select("doc_id", "t", "node").distinct().join(kept, "node")
-        .where(~(F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.t") == F.col("t")))).select(F.col("doc_id").alias("__id"), F.col("t").alias("__drop"))
-    )
-    hashed = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    left = hashed.join(drop, hashed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__drop")), "left_anti")
-    same = Window.partitionBy("doc_id", "__t").orderBy("__t")
-    return left.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    named = stage(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "best", "n"), "classes")
+    keep = named.groupBy("class").agg(F.min("best").alias("keep"), F.count(F.lit(1)).alias("members"))
+    kept = stage(lookup(named, keep, "class", "members", whole[0]).select("node", "keep", "n"), "kept")
+    other = ~(F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.t") == F.col("t")))
+    drop = lookup(rows.select("doc_id", "t", "node"), kept, "node", "n", whole[1]).where(other).select(F.xxhash64("doc_id", "t").alias("key"), "t")
+    # one exchange of whole rows, by keys that are never null: of equal rows the first stays, then those to drop go
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.xxhash64(text)).alias("key"), F.xxhash64(text).alias("t"))
+    first = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("key", "t").orderBy("t"))).where("nth = 1")
+    return first.join(drop.distinct(), ["key", "t"], "left_anti").select("row.*")
