@@ -454,6 +454,28 @@ def test_classifiers_on_held_out_rows(spark):
         assert sum(r["predicted"] == r[label] for r in got) >= least * len(got)
 
 
+def test_bradley_terry_minimises_the_pairs_loss():
+    r = np.random.default_rng(9)
+    x = r.normal(size=(400, len(quality.NAMES)))
+    y = (x[:, 0] - x[:, 3] + 0.2 * r.normal(size=400) > 0.3).astype(int)
+    model = quality.rank(x, y, 5000)
+    s = model.strength(x)
+    assert np.mean(s[y == 1][:, None] > s[y == 0][None]) > 0.95
+    assert np.mean(s >= model.threshold) == pytest.approx(y.mean(), abs=0.01)
+    assert np.array_equal(np.argsort(model.score(x), kind="stable"), np.argsort(s, kind="stable"))
+    # the regularised loss over the very pairs drawn has no better point near by
+    draw = np.random.default_rng(7)
+    a, b = draw.choice(np.flatnonzero(y == 1), 5000), draw.choice(np.flatnonzero(y == 0), 5000)
+
+    def loss(weight):
+        z = quality.Model(model.cuts, weight, 0.0).strength(x)
+        return np.mean(np.log1p(np.exp(z[b] - z[a]))) + 5e-5 * np.sum(weight**2)
+
+    least = loss(model.weight)
+    assert all(loss(model.weight + 0.3 * r.normal(size=model.weight.shape)) > least for _ in range(50))
+    assert loss(model.weight * 0.7) > least and loss(model.weight * 0) > least
+
+
 def test_classifiers_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for module, label in ((quality, "quality"), (toxicity, "toxic")):
