@@ -18,8 +18,10 @@ _CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x
 def tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits; of each CJK run all 1-, 2- and 3-grams and, if 2 to 8 long, itself once more."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    ascii_ = F.array_remove(F.split(F.translate(text, upper, upper.lower()), "[^a-z0-9]+"), "")
+    plain = text  # the two characters beyond ASCII whose small letter is in ASCII part words like any other
+    for c in ("\u0130", "\u212a"):
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    ascii_ = F.array_remove(F.split(F.lower(plain), "[^a-z0-9]+"), "")
 
     none = F.array().cast("array<string>")
 

@@ -326,3 +326,13 @@ def test_monitor_min_rows_inside_trees(spark):
     for least, signals in ((3, 1), (4, 0)):  # counted over what the SQL returns, not over what is kept
         rule = store.save_rule({"name": "r", "sql": "SELECT * FROM input", "condition": {"all": [{"min_rows": least}, over]}})
         assert runtime.execute_once(spark, store, rule, df)["signals"] == signals
+
+
+def test_keyword_tokens_are_ascii_words_and_cjk_grams(spark):
+    from pyspark.sql import functions as F
+
+    from brightloom.operators import keyword
+
+    given = [("KKX İa B-2é3",), ("",), (None,), (" 退款 Ab",)]
+    got = [r["t"] for r in spark.createDataFrame(given, "s string").select(keyword.tokens(F.col("s")).alias("t")).collect()]
+    assert got == [["k", "x", "a", "b", "2", "3"], [], [], ["ab", "退", "款", "退款", "退款"]]
