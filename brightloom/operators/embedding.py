@@ -42,18 +42,26 @@ def select_embedding_updates(rows: DataFrame, existing: DataFrame, embedding_ver
     return rows.join(last, "doc_id", "left").where(changed).select(*rows.columns)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def hash_embedding(text: Column, dim: int) -> Column:
-    """A unit vector of little-endian 32-bit words of SHA-256 over the text and a counter, scaled to [-1, 1]. All in the JVM."""
-    blocks = -(-dim // 8)
+    """A unit vector of little-endian 32-bit words of SHA-256 over the text and a counter, scaled to [-1, 1]. All in the JVM.
+
+    A digest is hashed once for its eight words, and the norm is taken once a vector.
+    """
+    low = F.lit(0x0F0F0F0F).cast("long")
 
-    def word(hex_: Column, i: int) -> Column:
-        le = F.concat(*(F.substring(hex_, i * 8 + k, 2) for k in (7, 5, 3, 1)))
-        return F.conv(le, 16, 10).cast("double") / 4294967295.0 * 2.0 - 1.0
+    def words(t: Column, c: Column) -> Column:
+        mirrored = F.reverse(F.sha2(F.concat(t, F.lit("\n"), c.cast("string")), 256))  # eight digits have a word's bytes in order, but the two digits of each not
+        parts = _once(mirrored, lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(h, F.lit(57) - i * 8, F.lit(8)), 16, 10).cast("long")))
+        return F.transform(parts, lambda x: (F.shiftleft(x.bitwiseAND(low), 4) + F.shiftright(x, 4).bitwiseAND(low)).cast("double") / 4294967295.0 * 2.0 - 1.0)
 
-    digests = [F.sha2(F.concat(text, F.lit(f"\n{c}")), 256) for c in range(blocks)]
-    raw = F.array(*(word(digests[i // 8], i % 8) for i in range(dim)))
+    raw = _once(text, lambda t: F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-dim // 8) - 1)), lambda c: words(t, c))), 1, dim))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: (x / norm(v)).cast("float")))[0]
+    return _once(raw, lambda v: _once(norm(v), lambda n: F.transform(v, lambda x: (x / n).cast("float"))))
 
 
 def materialize_embeddings(rows: DataFrame, path: str, dim: int = 32, version: str = "v1", provider: str | Callable = "hash", model: str = "hash") -> DataFrame:
@@ -96,9 +104,9 @@ def overlap_search(df: DataFrame, text_column: str, query: str, top_k: int = 10,
     q = spark.range(1).select(hash_embedding(F.lit(query), dim).alias("v")).first()["v"]
     with_v = df.withColumn("__v", hash_embedding(text, dim)).withColumn("keyword_score", share)
     near = F.greatest(F.lit(0.0), 1.0 - vector.score(with_v, "__v", q, "cosine"))
-    out = with_v.withColumn("embedding_score", near).drop("__v").where("keyword_score > 0 OR embedding_score > 0")
-    out = out.withColumn("score", 0.55 * F.col("keyword_score") + 0.45 * F.col("embedding_score"))
-    return out.orderBy(F.col("score").desc(), *([F.col(f"`{tie}`")] if tie else [])).limit(max(1, top_k))
+    out = with_v.withColumn("embedding_score", near).drop("__v").withColumn("score", 0.55 * F.col("keyword_score") + 0.45 * F.col("embedding_score"))
+    top = out.orderBy(F.col("score").desc(), *([F.col(f"`{tie}`")] if tie else [])).limit(max(1, top_k))
+    return top.where("keyword_score > 0 OR embedding_score > 0")  # rows of no score are last anyway; a condition before the limit would compute every score again
 
 
 def grounding_bundle(parts: dict[str, tuple[DataFrame, str]], query: str, top_k: int = 5, dim: int = 32) -> DataFrame:

@@ -143,6 +143,22 @@ def test_hash_embedding(spark):
     assert sorted(r[0] for r in values(embedding.select_embedding_updates(now, rows, "v1"))) == ["b", "c"]
 
 
+def test_overlap_search_hashes_a_text_once(spark):
+    rows = spark.createDataFrame([(1, "small ring"), (2, "red part"), (3, None), (4, "zinc bolt"), (5, "支付 part")], "id int, t string")
+    found = embedding.overlap_search(rows, "t", "red part", 4, tie="id")
+    vectors = {r["t"] or "": r["v"] for r in rows.select("t", embedding.hash_embedding(F.coalesce("t", F.lit("")), 32).alias("v")).collect()}
+    q = spark.range(1).select(embedding.hash_embedding(F.lit("red part"), 32).alias("v")).first()["v"]
+    want = []
+    for i, t in rows.collect():
+        near = max(0.0, sum(a * b for a, b in zip(vectors[t or ""], q, strict=True)))
+        share = len({"red", "part"} & set((t or "").split())) / 2
+        if near > 0 or share > 0:
+            want.append((i, pytest.approx(0.55 * share + 0.45 * near, abs=1e-6)))
+    assert [(r["id"], r["score"]) for r in found.collect()] == sorted(want, key=lambda x: (-x[1].expected, x[0]))[:4]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
 EVENTS = [[("09:00:00", "A"), ("09:00:10", "A"), ("09:00:30", "B")], [("09:00:40", "A"), ("09:00:50", "B")]]
 
 
