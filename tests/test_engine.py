@@ -159,6 +159,13 @@ def test_overlap_search_hashes_a_text_once(spark):
     assert plan.count("sha2(") == 1
 
 
+def test_grounding_bundle_hashes_a_text_once(spark):
+    part, nation = spark.createDataFrame([("small ring",), ("red part",)], "p string"), spark.createDataFrame([("FRANCE",), ("PERU",)], "n string")
+    found = embedding.grounding_bundle({"part": (part, "p"), "nation": (nation, "n")}, "part of France", 1)
+    assert [(r["kind"], r["item"]) for r in found.collect()] == [("part", '{"p":"red part"}'), ("nation", '{"n":"FRANCE"}')]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") <= 2  # none where the rows are folded
+
+
 EVENTS = [[("09:00:00", "A"), ("09:00:10", "A"), ("09:00:30", "B")], [("09:00:40", "A"), ("09:00:50", "B")]]
 
 
