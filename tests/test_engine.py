@@ -166,6 +166,14 @@ def test_grounding_bundle_hashes_a_text_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") <= 2  # none where the rows are folded
 
 
+def test_hash_embedding_is_computed_once(spark):
+    rows = spark.range(3).select(F.concat(F.lit("té"), "id").alias("t"))
+    v = rows.select(embedding.hash_embedding(F.col("t"), 20).alias("v"))
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("sha2("), plan.count("SQRT("), plan.count("conv(")) == (1, 1, 1)
+    assert [len(r["v"]) for r in v.collect()] == [20] * 3 and all(sum(x * x for x in r["v"]) == pytest.approx(1, abs=1e-5) for r in v.collect())
+
+
 EVENTS = [[("09:00:00", "A"), ("09:00:10", "A"), ("09:00:30", "B")], [("09:00:40", "A"), ("09:00:50", "B")]]
 
 
