@@ -31,6 +31,7 @@ def fetched(monkeypatch):
     "name",
     [
         "stm_op_17_progress",
+        "stm_src_03_queue",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
@@ -55,3 +56,16 @@ def test_memory_sink_keeps_any_columns(spark):
     sink = streams.MemorySink()
     sink.write(spark.createDataFrame([(1, None, 2.5)], "a int, b string, c double").select("a", F.col("b").alias("a"), F.lit(None).alias("a b"), "c"), 0)
     assert [tuple(r) for r in sink.last] == [(1, None, None, 2.5)] and sink.last[0].__fields__ == ["a", "a", "a b", "c"]
+
+
+def test_queue_takes_frames(spark):
+    q = streams.QueueSource(spark, "id long", files=3)
+    q.push(spark.range(5, numPartitions=2))
+    q.push_rows([(7,)])
+    q.push(spark.range(10, 30, numPartitions=9))
+    q.close()
+    sink = streams.MemorySink()
+    assert streams.Stream(spark, q).start(sink).await_termination() == 3
+    assert [sorted(r["id"] for r in b) for b in sink.all] == [[*range(5)], [7], [*range(10, 30)]]
+    with pytest.raises(RuntimeError):
+        q.push(spark.range(1))
