@@ -1,5 +1,7 @@
 """No rows of streams pass through the driver unless a program asks for them."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
@@ -32,6 +34,7 @@ def fetched(monkeypatch):
     [
         "stm_op_17_progress",
         "stm_src_03_queue",
+        "stm_snk_02_file_append",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
@@ -69,3 +72,15 @@ def test_queue_takes_frames(spark):
     assert [sorted(r["id"] for r in b) for b in sink.all] == [[*range(5)], [7], [*range(10, 30)]]
     with pytest.raises(RuntimeError):
         q.push(spark.range(1))
+
+
+def test_appended_lines_are_those_of_str(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 2, 3, 4, 5, 600)
+    rows = [(1, "a", True, 1e16, t), (None, None, None, None, None), (3, "c,\"d\"", False, 0.1, t)]
+    df = spark.createDataFrame(rows, "i long, s string, b boolean, x double, t timestamp_ntz").repartitionByRange(3, F.col("s").asc_nulls_last())
+    for names in (["i", "s", "b"], ["i", "s", "b", "x", "t"]):
+        out = tmp_path / f"{len(names)}.csv"
+        for batch in (0, 1):
+            streams.FileAppendSink(str(out)).write(df.select(names), batch)
+        lines = [",".join("" if v is None else str(v) for v in r[: len(names)]) for r in (rows[0], rows[2], rows[1])]
+        assert out.read_text().splitlines() == [",".join(names), *lines, *lines]
