@@ -36,6 +36,7 @@ def fetched(monkeypatch):
         "stm_src_03_queue",
         "stm_snk_02_file_append",
         "stm_op_11_retained_windows",
+        "stm_op_01_rowwise",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
