@@ -37,6 +37,7 @@ def fetched(monkeypatch):
         "stm_snk_02_file_append",
         "stm_op_11_retained_windows",
         "stm_op_01_rowwise",
+        "stm_op_06_per_batch",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
