@@ -38,6 +38,7 @@ def fetched(monkeypatch):
         "stm_op_11_retained_windows",
         "stm_op_01_rowwise",
         "stm_op_06_per_batch",
+        "stm_op_02_limit",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
