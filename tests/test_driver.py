@@ -39,6 +39,7 @@ def fetched(monkeypatch):
         "stm_op_01_rowwise",
         "stm_op_06_per_batch",
         "stm_op_02_limit",
+        "stm_op_03_order_by",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
