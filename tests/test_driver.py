@@ -40,6 +40,7 @@ def fetched(monkeypatch):
         "stm_op_06_per_batch",
         "stm_op_02_limit",
         "stm_op_03_order_by",
+        "stm_op_15_at_least_once",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
