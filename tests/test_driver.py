@@ -41,6 +41,7 @@ def fetched(monkeypatch):
         "stm_op_02_limit",
         "stm_op_03_order_by",
         "stm_op_15_at_least_once",
+        "stm_op_04_window_count",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
