@@ -43,6 +43,7 @@ def fetched(monkeypatch):
         "stm_op_15_at_least_once",
         "stm_op_04_window_count",
         "stm_op_05_sliding",
+        "stm_op_07_running",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
