@@ -44,6 +44,7 @@ def fetched(monkeypatch):
         "stm_op_04_window_count",
         "stm_op_05_sliding",
         "stm_op_07_running",
+        "stm_op_16_best_effort",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
