@@ -174,6 +174,22 @@ def test_hash_embedding_is_computed_once(spark):
     assert [len(r["v"]) for r in v.collect()] == [20] * 3 and all(sum(x * x for x in r["v"]) == pytest.approx(1, abs=1e-5) for r in v.collect())
 
 
+def test_postings_are_counted_by_row(spark):
+    def brute(rows):
+        out = {}
+        for i, t in rows:
+            for w in t:
+                out[w, i] = out.get((w, i), 0) + 1
+        return sorted(((w, i, n) for (w, i), n in out.items()), key=repr)
+
+    apart = [("1", ["b", "a", "b"]), ("2", []), ("3", ["a"]), (None, ["b", "b"])]
+    for rows in (apart, [*apart, ("3", ["a", "c"]), (None, ["b"])]):
+        docs = spark.createDataFrame(rows, "__doc_id string, __tokens array<string>")
+        got = keyword._postings(docs)
+        assert got.dtypes == [("term", "string"), ("__doc_id", "string"), ("tf", "bigint")] and sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    assert "Exchange" not in keyword._postings(spark.createDataFrame(apart, docs.schema))._jdf.queryExecution().executedPlan().toString()
+
+
 EVENTS = [[("09:00:00", "A"), ("09:00:10", "A"), ("09:00:30", "B")], [("09:00:40", "A"), ("09:00:50", "B")]]
 
 
