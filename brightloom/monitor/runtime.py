@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import json
+import os
+import secrets
+import shutil
 import sqlite3
 import time
 import uuid
+from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from ..streaming.query import shared_folder
 from . import dsl
 
+_FOUND = ("row", "severity", "title", "summary", "dedupe")
+
 
 class Store:
-    """Monitors' state and focus events, on the driver, in SQLite (a path or :memory:)."""
+    """Monitors' state and focus events, on the driver, in SQLite (a path, :memory:, or "" for a temporary file)."""
 
     def __init__(self, path: str = ":memory:"):
         self.db = sqlite3.connect(path, check_same_thread=False)
@@ -51,6 +59,27 @@ class Store:
         self.db.execute("INSERT INTO focus VALUES (?, ?, ?, ?, ?, ?, ?, ?, 'new')", (focus, rule, at, severity, title, summary, dedupe, json.dumps(row, default=str)))
         return focus
 
+    def add_found(self, rule: str, at: float, found: list[tuple], focus: bool) -> None:
+        """Signals, and focus events if wanted, of many rows (row as JSON, severity, title, summary, dedupe). Ids rise, so that tables and index grow at their ends."""
+        run = f"{time.time_ns():016x}{secrets.token_hex(4)}"
+        ids = [f"{run}{i:08x}" for i in range(len(found))]
+        self.db.executemany("INSERT INTO signals VALUES (?, ?, ?, ?)", ((i, rule, at, f[0]) for i, f in zip(ids, found, strict=True)))
+        if focus:
+            self.db.executemany("INSERT INTO focus VALUES (?, ?, ?, ?, ?, ?, ?, ?, 'new')", ((i, rule, at, *f[1:], f[0]) for i, f in zip(ids, found, strict=True)))
+
+    def focus_frame(self, spark: SparkSession) -> DataFrame:
+        """All focus events as a table; the driver holds some thousands at a time."""
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        names = ("id", "rule", "at", "severity", "title", "summary", "dedupe", "row", "status")
+        schema = pa.schema([(n, pa.float64() if n == "at" else pa.string()) for n in names])
+        path, rows = f"{shared_folder(spark, 'focus')}/focus.parquet", self.db.execute(f"SELECT {', '.join(names)} FROM focus")
+        with pq.ParquetWriter(path, schema) as out:
+            while some := rows.fetchmany(50_000):
+                out.write_table(pa.table(list(zip(*some, strict=True)), schema=schema))
+        return spark.read.parquet(path)
+
     def focus_events(self, status: str | None = None, limit: int = 50) -> list[dict]:
         return self._focus("WHERE status = ? OR ? IS NULL ORDER BY at DESC, id DESC LIMIT ?", (status, status, limit))
 
@@ -108,15 +137,40 @@ def execute_once(spark: SparkSession, store: Store, rule: str, data: DataFrame,
     kept = found.where(dsl.condition(spec["condition"], found.limit(asked).count() if asked > 1 else 1))  # a row that is there is one
     at = now.timestamp()
     signals = promoted = 0
-    for r in kept.toLocalIterator():  # a partition at a time: the driver never holds them all
-        row = r.asDict(recursive=True)
-        store.add_signal(rule, at, row)
-        promoted += promote(store, rule, spec, row, at)
-        signals += 1
+    for some in _found(spark, kept, spec):
+        if spec["promotion"]["cooldown_seconds"]:  # whether a row is promoted depends on those before it
+            for f in some:
+                store.add_found(rule, at, [f], due := _due(store, rule, spec["promotion"], f[4], at))
+                promoted += due
+        else:
+            store.add_found(rule, at, some, True)
+            promoted += len(some)
+        signals += len(some)
     store.save_state(rule, state | {"last_run": at})
     return {"status": "done", "signals": signals, "focus_events": promoted}
 
 
+def _found(spark: SparkSession, kept: DataFrame, spec: dict) -> Iterator[list[tuple]]:
+    """_FOUND of the rows in their order, some thousands at a time. Executors make them, all at once, and write them to a shared folder."""
+    import pyarrow.parquet as pq
+
+    ship(spark)
+    made = spark.createDataFrame(kept.rdd.mapPartitions(lambda rows: (_derived(spec, r.asDict(recursive=True)) for r in rows)), ", ".join(f"{n} string" for n in _FOUND))
+    root = shared_folder(spark, "signals")
+    made.write.option("maxRecordsPerFile", 0).parquet(f"{root}/found")
+    for part in sorted(p for p in os.listdir(f"{root}/found") if p.startswith("part-")):
+        with pq.ParquetFile(f"{root}/found/{part}") as f:
+            for batch in f.iter_batches(20_000, columns=list(_FOUND)):
+                yield list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    shutil.rmtree(root)
+
+
+def _derived(spec: dict, row: dict) -> tuple:
+    p, values = spec["promotion"], row | {"name": spec["name"]}
+    dedupe = "|".join(str(row.get(k)) for k in p["key_fields"]) if p["key_fields"] else ""
+    return json.dumps(row, default=str), severity(p, row), dsl.fill(p["title"], values), dsl.fill(p["summary"], values), dedupe
+
+
 def severity(promotion: dict, row: dict) -> str:
     """That of the first rule {when: {field, op, value}, severity} that holds, else the default."""
     ops = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "in": lambda a, b: a in b, "not_in": lambda a, b: a not in b}
@@ -127,16 +181,18 @@ def severity(promotion: dict, row: dict) -> str:
     return promotion["severity"]
 
 
+def _due(store: Store, rule: str, p: dict, dedupe: str, at: float) -> bool:
+    """Whether the rule, or this row's key, had no focus event within the cooldown."""
+    recent = store.recent(rule) if p["cooldown_seconds"] else ()
+    return not any(0 <= at - old["at"] < p["cooldown_seconds"] and (not p["key_fields"] or old["dedupe"] == dedupe) for old in recent)
+
+
 def promote(store: Store, rule: str, spec: dict, row: dict, at: float) -> bool:
     """Adds a focus event unless the rule, or this row's key, had one within the cooldown."""
-    p = spec["promotion"]
-    values = row | {"name": spec["name"]}
-    dedupe = "|".join(str(row.get(k)) for k in p["key_fields"]) if p["key_fields"] else ""
-    for old in store.recent(rule) if p["cooldown_seconds"] else ():
-        if 0 <= at - old["at"] < p["cooldown_seconds"] and (not p["key_fields"] or old["dedupe"] == dedupe):
-            return False
-    store.add_focus(rule, at, severity(p, row), dsl.fill(p["title"], values), dsl.fill(p["summary"], values), dedupe, row)
-    return True
+    _, level, title, summary, dedupe = _derived(spec, row)
+    if due := _due(store, rule, spec["promotion"], dedupe, at):
+        store.add_focus(rule, at, level, title, summary, dedupe, row)
+    return due
 
 
 def run_for(spark: SparkSession, store: Store, rule: str, load, rounds: int, every: timedelta) -> list[dict]:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from brightloom.monitor import runtime
 from brightloom.plans import catalog
 from brightloom.streaming import query as streams
 
@@ -45,6 +46,7 @@ def fetched(monkeypatch):
         "stm_op_05_sliding",
         "stm_op_07_running",
         "stm_op_16_best_effort",
+        "mon_07_promotion",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
@@ -94,3 +96,15 @@ def test_appended_lines_are_those_of_str(spark, tmp_path):
             streams.FileAppendSink(str(out)).write(df.select(names), batch)
         lines = [",".join("" if v is None else str(v) for v in r[: len(names)]) for r in (rows[0], rows[2], rows[1])]
         assert out.read_text().splitlines() == [",".join(names), *lines, *lines]
+
+
+def test_focus_frame_and_cooldown(spark):
+    store, df = runtime.Store(""), spark.createDataFrame([(i, "ab"[i % 2]) for i in range(6)], "i int, k string").repartition(3).orderBy("i")
+    promotion = {"title": "{i} {k}", "severity_rules": [{"when": {"field": "i", "op": ">", "value": 3}, "severity": "high"}]}
+    free = store.save_rule({"name": "free", "sql": "SELECT * FROM input ORDER BY i", "promotion": promotion})
+    keyed = store.save_rule({"name": "keyed", "sql": "SELECT * FROM input ORDER BY i", "promotion": promotion | {"key_fields": ["k"], "cooldown_seconds": 60}})
+    assert [runtime.execute_once(spark, store, r, df)["focus_events"] for r in (free, keyed)] == [6, 2]
+    got = [(e["title"], e["severity"], e["row"]) for e in store.poll("me")]
+    assert got == [*((f"{i} {'ab'[i % 2]}", "high" if i > 3 else "info", {"i": i, "k": "ab"[i % 2]}) for i in range(6)), ("0 a", "info", {"i": 0, "k": "a"}), ("1 b", "info", {"i": 1, "k": "b"})]
+    assert sorted((r["id"], r["title"], r["at"]) for r in store.focus_frame(spark).collect()) == sorted((e["id"], e["title"], e["at"]) for e in store.focus_events(limit=-1))
+    assert runtime.Store("").focus_frame(spark).count() == 0
