@@ -47,6 +47,7 @@ def fetched(monkeypatch):
         "stm_op_07_running",
         "stm_op_16_best_effort",
         "mon_07_promotion",
+        "mon_05_execute",
     ],
 )
 def test_rows_stay_on_executors(spark, fetched, name):
