@@ -190,6 +190,13 @@ def test_postings_are_counted_by_row(spark):
     assert "Exchange" not in keyword._postings(spark.createDataFrame(apart, docs.schema))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_index_of_repeated_ids(spark, tmp_path):
+    rows = [(1, "red part"), (1, "red red ring"), (2, "blue ring"), (None, "red"), (None, "red bolt")]
+    path = keyword.build_keyword_index([spark.createDataFrame(rows, "d int, t string")], ["t"], str(tmp_path / "k"), doc_id_field="d")
+    assert dict(map(tuple, spark.read.parquet(f"{path}/terms").collect())) == {"red": 2, "part": 1, "ring": 2, "blue": 1, "bolt": 1}
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/postings").where("term = 'red'").collect()), key=repr) == [("red", "1", 3), ("red", None, 2)]
+
+
 EVENTS = [[("09:00:00", "A"), ("09:00:10", "A"), ("09:00:30", "B")], [("09:00:40", "A"), ("09:00:50", "B")]]
 
 
