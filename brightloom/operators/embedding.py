@@ -97,15 +97,25 @@ def query_embeddings(df: DataFrame, text: str, top_k: int = 10, where: str | Non
 
 
 def overlap_search(df: DataFrame, text_column: str, query: str, top_k: int = 10, dim: int = 32, tie: str | None = None) -> DataFrame:
-    """Rows by 0.55 of the share of query words they hold and 0.45 of the cosine of hash embeddings (at least 0); score over zero."""
+    """Rows by 0.55 of the share of query words they hold and 0.45 of the cosine of hash embeddings (at least 0); score over zero.
+
+    A score hangs on the text alone, so each text is scored once, however many rows have it, by tasks as many as there are
+    cores. The first k rows have only texts that are among the first k by score and their least tie.
+    """
     spark, words = df.sparkSession, list(dict.fromkeys(df.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]))
-    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
-    share = F.size(F.array_intersect(tokens(text), F.array(*map(F.lit, words)))) / float(len(words)) if words else F.lit(0.0)
+    text, k = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), max(1, top_k)
+    least = [F.min(F.struct(F.col(f"`{tie}`"))).alias("__least")] if tie else []  # a struct, since min passes over nulls, which come first
+    texts = df.withColumn("__text", text).groupBy("__text").agg(*least) if tie else df.select(text.alias("__text")).distinct()
+    share = F.size(F.array_intersect(tokens(F.col("__text")), F.array(*map(F.lit, words)))) / float(len(words)) if words else F.lit(0.0)
     q = spark.range(1).select(hash_embedding(F.lit(query), dim).alias("v")).first()["v"]
-    with_v = df.withColumn("__v", hash_embedding(text, dim)).withColumn("keyword_score", share)
+    spread = texts.repartition(max(1, spark.sparkContext.defaultParallelism), "__text")  # else adaptive execution hashes small texts in one task
+    with_v = spread.withColumn("__v", hash_embedding(F.col("__text"), dim)).withColumn("__share", share)
     near = F.greatest(F.lit(0.0), 1.0 - vector.score(with_v, "__v", q, "cosine"))
-    out = with_v.withColumn("embedding_score", near).drop("__v").withColumn("score", 0.55 * F.col("keyword_score") + 0.45 * F.col("embedding_score"))
-    top = out.orderBy(F.col("score").desc(), *([F.col(f"`{tie}`")] if tie else [])).limit(max(1, top_k))
+    scored = with_v.withColumn("__near", near).drop("__v").withColumn("__score", 0.55 * F.col("__share") + 0.45 * F.col("__near"))
+    best = scored.orderBy(F.col("__score").desc(), *(["__least"] if tie else [])).limit(k).drop("__least")
+    found = df.withColumn("__text", text).join(F.broadcast(best), "__text").drop("__text")  # best is top_k rows
+    top = found.orderBy(F.col("__score").desc(), *([F.col(f"`{tie}`")] if tie else [])).limit(k)
+    top = top.withColumns({"keyword_score": F.col("__share"), "embedding_score": F.col("__near"), "score": F.col("__score")}).drop("__share", "__near", "__score")
     return top.where("keyword_score > 0 OR embedding_score > 0")  # rows of no score are last anyway; a condition before the limit would compute every score again
 
 

@@ -166,6 +166,23 @@ def test_grounding_bundle_hashes_a_text_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") <= 2  # none where the rows are folded
 
 
+def test_overlap_search_scores_each_text_once(spark):
+    texts = ["small ring", "red part", "part of France", None, "", "zinc bolt"]
+    rows = spark.createDataFrame([(None if i == 7 else 1000 - i, texts[i % 6]) for i in range(600)], "id int, t string")
+    for query, k in (("small part of France", 3), ("red part", 250), ("nowhere", 130), ("red part", 1)):
+        v = rows.select("id", "t", embedding.hash_embedding(F.coalesce("t", F.lit("")), 32).alias("v")).collect()
+        q, words, want = embedding.embed_query(rows, query, 32), set(query.lower().split()), []
+        for r in v:
+            near, share = max(0.0, sum(a * b for a, b in zip(r["v"], q, strict=True))), len(words & set((r["t"] or "").lower().split())) / len(words)
+            want.append((-(0.55 * share + 0.45 * near), -1 if r["id"] is None else r["id"], r["t"], near > 0 or share > 0))
+        want = [(None if i < 0 else i, t, pytest.approx(-s, abs=1e-6)) for s, i, t, some in sorted(want, key=lambda x: (round(x[0], 6), x[1]))[:k] if some]
+        found = embedding.overlap_search(rows, "t", query, k, tie="id")
+        assert [(r["id"], r["t"], r["score"]) for r in found.collect()] == want and found.columns == ["id", "t", "keyword_score", "embedding_score", "score"]
+        assert [r["score"] for r in embedding.overlap_search(rows, "t", query, k).collect()] == [w[2] for w in want]
+    plan = embedding.overlap_search(rows, "t", "red part", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") < plan.index("RepartitionByExpression") < plan.index("Aggregate [")  # texts are grouped, then spread, then hashed
+
+
 def test_hash_embedding_is_computed_once(spark):
     rows = spark.range(3).select(F.concat(F.lit("té"), "id").alias("t"))
     v = rows.select(embedding.hash_embedding(F.col("t"), 20).alias("v"))
