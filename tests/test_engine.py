@@ -214,6 +214,14 @@ def test_index_of_repeated_ids(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{path}/postings").where("term = 'red'").collect()), key=repr) == [("red", "1", 3), ("red", None, 2)]
 
 
+def test_postings_sort_without_lambda(spark):
+    rows = [("1", ["z", "支", "a", "z", "B", "é", "a", "z"]), ("2", [])]
+    got = keyword._postings(spark.createDataFrame(rows, "__doc_id string, __tokens array<string>"))
+    assert sorted((r["term"], r["tf"]) for r in got.collect()) == [("B", 1), ("a", 2), ("z", 3), ("é", 1), ("支", 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+
+
 EVENTS = [[("09:00:00", "A"), ("09:00:10", "A"), ("09:00:30", "B")], [("09:00:40", "A"), ("09:00:50", "B")]]
 
 
