@@ -64,11 +64,23 @@ def hash_embedding(text: Column, dim: int) -> Column:
     return _once(raw, lambda v: _once(norm(v), lambda n: F.transform(v, lambda x: (x / n).cast("float"))))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows over as many tasks as there are cores, as a vector costs far more than its row; those that fill so many splits by their size stay as they lie.
+
+    A file of few bytes may hold very many rows (one row group of repeated texts), and is read by one task.
+    """
+    spark = rows.sparkSession
+    cores, plan = max(1, spark.sparkContext.defaultParallelism), rows._jdf.queryExecution().optimizedPlan()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return rows if int(str(plan.stats().sizeInBytes())) > cores * split else rows.repartition(cores)
+
+
 def materialize_embeddings(rows: DataFrame, path: str, dim: int = 32, version: str = "v1", provider: str | Callable = "hash", model: str = "hash") -> DataFrame:
     """rows (text) with embedding, embedding_version, provider_name, model_name, dimension, embedded_at, written as Parquet and read back.
 
     provider: "hash", or a function of a list of texts to a list of vectors, run over Arrow batches.
     """
+    rows = _spread(rows)
     if callable(provider):
         import pandas as pd
 
@@ -91,9 +103,9 @@ def embed_query(df: DataFrame, text: str, dim: int) -> list[float]:
     return df.sparkSession.range(1).select(hash_embedding(F.lit(text), dim).alias("v")).first()["v"]
 
 
-def query_embeddings(df: DataFrame, text: str, top_k: int = 10, where: str | None = None, metric: str = "cosine", score_threshold: float | None = None, column: str = "embedding", dim: int = 32) -> DataFrame:
+def query_embeddings(df: DataFrame, text: str, top_k: int = 10, where: str | None = None, metric: str = "cosine", score_threshold: float | None = None, column: str = "embedding", dim: int = 32, tie: str | None = None) -> DataFrame:
     """Hybrid search of a dataset's embeddings for a text, after a filter."""
-    return vector.hybrid_search(df.where(where) if where else df, column, embed_query(df, text, dim), top_k, metric, score_threshold)
+    return vector.hybrid_search(df.where(where) if where else df, column, embed_query(df, text, dim), top_k, metric, score_threshold, tie)
 
 
 def overlap_search(df: DataFrame, text_column: str, query: str, top_k: int = 10, dim: int = 32, tie: str | None = None) -> DataFrame:

@@ -191,6 +191,23 @@ def test_hash_embedding_is_computed_once(spark):
     assert [len(r["v"]) for r in v.collect()] == [20] * 3 and all(sum(x * x for x in r["v"]) == pytest.approx(1, abs=1e-5) for r in v.collect())
 
 
+def test_embeddings_are_made_by_as_many_tasks_as_cores(spark, tmp_path):
+    texts = spark.range(3000, numPartitions=1).select("id", (F.col("id") % 7).cast("string").alias("text"))
+    texts.write.parquet(str(tmp_path / "rows"))  # one file, one row group: one task reads it
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    made = embedding.materialize_embeddings(rows, str(tmp_path / "out"), dim=8)
+    got = made.select("*", F.input_file_name().alias("f")).collect()
+    assert sorted((r["id"], r["text"]) for r in got) == [(i, str(i % 7)) for i in range(3000)]
+    assert len({r["f"] for r in got}) == spark.sparkContext.defaultParallelism == 4 and len({(r["text"], tuple(r["embedding"])) for r in got}) == 7
+    found = embedding.query_embeddings(made, "3", 4, dim=8, tie="id")
+    assert [(r["id"], r["text"]) for r in found.collect()] == [(i, "3") for i in (3, 10, 17, 24)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:  # what fills as many splits by its size is not shuffled
+        assert "Repartition" not in embedding._spread(rows)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_postings_are_counted_by_row(spark):
     def brute(rows):
         out = {}
